@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from larkspan.llm.packing import op2_slack_packing
+from larkspan.llm.pii import op4_contextual_pii
+from larkspan.llm.quality import op1_rule_ledger
+from larkspan.llm.sharding import op5_ring_shards
 from larkspan.llm.token_counts import op7_prefix_token_counts
+from larkspan.llm.warc import op9_archive_merge
 
-QUERIES = {f.__name__: f for f in (op7_prefix_token_counts,)}
+QUERIES = {f.__name__: f for f in (op1_rule_ledger, op2_slack_packing, op4_contextual_pii, op5_ring_shards, op7_prefix_token_counts, op9_archive_merge)}
 
 ORACLE_SQL: dict[str, str] = {}
