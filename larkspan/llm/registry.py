@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
+from larkspan.llm.minhash import op10_bbit_minhash
 from larkspan.llm.packing import op2_slack_packing
 from larkspan.llm.pii import op4_contextual_pii
+from larkspan.llm.pivot_index import op3_pivot_search
 from larkspan.llm.quality import op1_rule_ledger
 from larkspan.llm.sharding import op5_ring_shards
 from larkspan.llm.token_counts import op7_prefix_token_counts
 from larkspan.llm.warc import op9_archive_merge
 
-QUERIES = {f.__name__: f for f in (op1_rule_ledger, op2_slack_packing, op4_contextual_pii, op5_ring_shards, op7_prefix_token_counts, op9_archive_merge)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_rule_ledger,
+        op2_slack_packing,
+        op3_pivot_search,
+        op4_contextual_pii,
+        op5_ring_shards,
+        op7_prefix_token_counts,
+        op9_archive_merge,
+        op10_bbit_minhash,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+#: exact search over whole tables by brute force
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_pivot_search": OP3_SQL}
