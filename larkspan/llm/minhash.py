@@ -6,10 +6,8 @@ meet again only at the end.  Classes that share a band key are candidates; bit c
 estimate their similarity, corrected for chance agreement, and drop those that are ``SLACK`` below the
 limit (six standard deviations); what is left is confirmed on the whole sets of the texts.
 
-Candidates are tested in rounds, so that a large group never becomes all its pairs: in each round every
-member of a key meets one hub of the key that it is not yet connected to, and only its likeliest hub is
-confirmed.  After ``ROUNDS`` rounds the pairs that still cross components are all tested, which makes
-the result whole: no candidate pair stays untested unless its two documents are connected anyway.
+Candidates are tested in rounds (``graph.linked``), so that a large group never becomes all its pairs, and
+the rounds end with a full test of what is not connected by then.
 
 Defined results: a null text or one without words has no shingles, is linked with nothing and is its own
 component; one with fewer words than a shingle has its whole sequence as its only one; a null key never
@@ -29,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm._common import table, written
-from larkspan.llm.graph import components
+from larkspan.llm.graph import linked
 
 ROWS, BANDS, BITS = 5, 40, 2
 HASHES = ROWS * BANDS
@@ -181,9 +179,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     base = signatures(docs, key, text, size)
     classes = written(base.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("low"), F.min("uid").alias("node")), "classes")
     reps = written(base.drop("digest").join(classes.select("node"), F.col("uid") == F.col("node")).select("node", "key", "print", "sig", "bands"), "representatives")
-    keyed = reps.select("node", F.explode("bands").alias("band"))
-    shared = written(keyed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("band", "hub"), "shared-bands")
-    members = written(keyed.join(shared, "band").select("band", "node", "hub"), "members")
+    keyed = reps.select("node", F.explode("bands").alias("bucket"))
+    shared = written(keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket"), "shared-bands")
+    members = written(keyed.join(shared, "bucket"), "members")
     known = written(reps.drop("bands").join(members.select("node").distinct(), "node"), "candidates")
     texts = _texts(docs, known, key, text)
     sigs = known.select("node", "sig")
@@ -195,41 +193,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         both = one.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
         return both.select("a", "b", estimate("sig_a", "sig_b").alias("likeness")).filter(F.col("likeness") >= best_possible)
 
-    links, tested, comp = None, None, None
-    for i in range(ROUNDS + 1):
-        if comp is None:
-            placed = members.select("band", "node", F.col("node").alias("comp"))
-        else:
-            placed = members.select("band", "node").join(comp, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
-            spread = placed.groupBy("band").agg(F.min("comp").alias("c_low"), F.max("comp").alias("c_high")).filter("c_low <> c_high")
-            placed = written(placed.join(written(spread.select("band"), "open-bands"), "band"), "open")
-            if placed.isEmpty():
-                break
-        if i < ROUNDS:
-            if comp is None:
-                pairs = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-            else:
-                turn = F.struct(F.xxhash64("node", F.lit(i)).alias("turn"), "node", "comp")
-                hubs = written(placed.groupBy("band").agg(F.min(turn).alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
-                pairs = placed.join(hubs, "band").filter("comp <> hub_comp").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-            pairs = promising(pairs).groupBy("a").agg(F.max_by("b", "likeness").alias("b"))
-        else:
-            # of each open band the members outside its most common component meet all of another component
-            sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"))
-            top = written(sizes.select("band", F.col("top.comp").alias("top_comp")), "top")
-            outside = placed.join(top, "band").filter("comp <> top_comp").select("band", F.col("node").alias("a"), F.col("comp").alias("a_comp"))
-            outside = written(outside, "outside")
-            crossing = outside.join(placed.select("band", F.col("node").alias("b"), "comp"), "band").filter("a_comp <> comp")
-            pairs = promising(crossing.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()).select("a", "b")
-        pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = written(confirm(pairs, texts, limit, size), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty() or comp is None:
-            comp = written(components(links), "components")
-
+    comp = linked(members, promising, lambda pairs: confirm(pairs, texts, limit, size), ROUNDS)
     group = F.coalesce("component", "node")
     placed = classes.join(comp, "node", "left").select("digest", "low", group.alias("group"))
     lowest = written(placed.groupBy("group").agg(F.min("low").alias("component_id")), "lowest")

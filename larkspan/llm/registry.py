@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from larkspan.llm.fuzzy_lines import op6_fuzzy_lines
 from larkspan.llm.minhash import op10_bbit_minhash
 from larkspan.llm.packing import op2_slack_packing
 from larkspan.llm.pii import op4_contextual_pii
@@ -9,6 +10,7 @@ from larkspan.llm.pivot_index import op3_pivot_search
 from larkspan.llm.quality import op1_rule_ledger
 from larkspan.llm.sharding import op5_ring_shards
 from larkspan.llm.token_counts import op7_prefix_token_counts
+from larkspan.llm.transducer import op8_piece_transducer
 from larkspan.llm.warc import op9_archive_merge
 
 QUERIES = {
@@ -19,7 +21,9 @@ QUERIES = {
         op3_pivot_search,
         op4_contextual_pii,
         op5_ring_shards,
+        op6_fuzzy_lines,
         op7_prefix_token_counts,
+        op8_piece_transducer,
         op9_archive_merge,
         op10_bbit_minhash,
     )
