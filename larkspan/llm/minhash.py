@@ -174,8 +174,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, limit: int, size: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, limit: int = LIMIT) -> DataFrame:
-    """key, n_shingles, component_id and kept for every row."""
+def classified(docs: DataFrame, key: str, text: str, size: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and (digest, group, component_id) of all classes with words."""
     base = signatures(docs, key, text, size)
     classes = written(base.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("low"), F.min("uid").alias("node")), "classes")
     reps = written(base.drop("digest").join(classes.select("node"), F.col("uid") == F.col("node")).select("node", "key", "print", "sig", "bands"), "representatives")
@@ -197,11 +197,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     group = F.coalesce("component", "node")
     placed = classes.join(comp, "node", "left").select("digest", "low", group.alias("group"))
     lowest = written(placed.groupBy("group").agg(F.min("low").alias("component_id")), "lowest")
-    by_digest = written(placed.join(lowest, "group").select("digest", "component_id"), "by-digest")
-    own = base.join(by_digest, "digest", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+    return base, written(placed.join(lowest, "group").select("digest", "group", "component_id"), "by-digest")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, limit: int = LIMIT) -> DataFrame:
+    """key, n_shingles, component_id and kept for every row."""
+    base, classes = classified(docs, key, text, size, limit)
+    own = base.join(classes, "digest", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
     return own.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, limit: int = LIMIT) -> DataFrame:
+    """The rows and columns of the table with one row of each component: the one with the smallest key, null last; rows equal in key and text count as one."""
+    base, classes = classified(docs, key, text, size, limit)
+    rows = base.join(classes.select("digest", "group"), "digest", "left").select("key", "print", "group")
+    first = rows.filter("group IS NOT NULL").groupBy("group").agg(F.min_by(F.struct("key", "print"), F.struct(F.col("key").isNull(), "key", "print")).alias("k")).select("k.*")
+    stay = written(first.unionByName(rows.filter("group IS NULL").select("key", "print")).distinct(), "staying").withColumnsRenamed({"key": "k_key", "print": "k_print"})
+    print_ = F.xxhash64(docs[text])
+    found = docs.withColumn("_print", print_).join(stay, docs[key].eqNullSafe(stay.k_key) & (F.col("_print") == stay.k_print), "left_semi")
+    return found.dropDuplicates([key, "_print"]).drop("_print")
+
+
 def _texts(docs: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
     """node and text of the candidate classes; a node's row is found by key and a hash of the text."""
     rows = docs.select(docs[key].alias("d_key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("d_print"))

@@ -113,10 +113,19 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return got.withColumnRenamed("key", key)
 
 
+def _bits() -> str:
+    return " | ".join(f"IF({condition}, {1 << i}L, 0L)" for i, (_, condition) in enumerate(RULES))
+
+
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, the measurements and fail_bits: one bit for each rule that the row fails."""
-    bits = " | ".join(f"IF({condition}, {1 << i}L, 0L)" for i, (_, condition) in enumerate(RULES))
-    return measure(docs, key, text).withColumn("fail_bits", F.expr(bits))
+    return measure(docs, key, text).withColumn("fail_bits", F.expr(_bits()))
+
+
+def accepted(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
+    """The rows and columns of the table that the policy keeps, in one pass: whole rows are the ledger's keys."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("text"))
+    return judge(ledger(rows, "row", "text"), policy).filter("kept").select("row.*")
 
 
 def judge(entries: DataFrame, policy: Policy) -> DataFrame:
