@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from larkspan import queries
+from larkspan.queries import hybrid, storage, text, vectors
+
+QUERIES, ORACLE_SQL = queries.QUERIES, queries.ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "hybrid", "storage", "text", "vectors"]
