@@ -46,15 +46,22 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
 
 
-def linked(members: DataFrame, promising: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+def linked(
+    members: DataFrame,
+    promising: Callable[[DataFrame], DataFrame],
+    confirm: Callable[[DataFrame], DataFrame],
+    exhaust: Callable[[DataFrame, DataFrame], DataFrame],
+    rounds: int = 3,
+) -> DataFrame:
     """(node, component) of the nodes that a confirmed link reaches, candidates being nodes in one bucket.
 
     members is (bucket, node), written.  promising gives of pairs (a, b) those worth a test, with their
     likeness; confirm gives of pairs those that are links.  A bucket never becomes all its pairs: in each
     round every member meets one hub of its bucket that it is not yet connected to, and of its hubs only
-    the likeliest is confirmed.  After the rounds, the members outside a bucket's most common component
-    meet all members of other components, so no promising pair stays untested unless its nodes are
-    connected anyway: components are those of testing all pairs.
+    the likeliest is confirmed.  After the rounds, exhaust gets what is still open, (bucket, node, comp)
+    and (bucket, top_comp): the members outside a bucket's most common component have to be held against
+    all its members of other components, and it gives the links among them.  So no candidates stay
+    untested unless they are connected anyway, and components are those of testing all pairs.
     """
     links = tested = comp = None
     for i in range(rounds + 1):
@@ -71,18 +78,15 @@ def linked(members: DataFrame, promising: Callable[[DataFrame], DataFrame], conf
             hubs = written(placed.groupBy("bucket").agg(F.min(turn).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
             pairs = placed.join(hubs, "bucket").filter("comp <> hub_comp").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
             pairs = promising(pairs).groupBy("a").agg(F.max_by("b", "likeness").alias("b"))
+            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = written(pairs, "pairs")
+            found = written(confirm(pairs), "links")
+            tested = pairs if tested is None else tested.unionByName(pairs)
         else:
             sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"))
-            top = written(sizes.select("bucket", F.col("top.comp").alias("top_comp")), "top")
-            outside = written(placed.join(top, "bucket").filter("comp <> top_comp").select("bucket", F.col("node").alias("a"), F.col("comp").alias("a_comp")), "outside")
-            crossing = outside.join(placed.select("bucket", F.col("node").alias("b"), "comp"), "bucket").filter("a_comp <> comp")
-            pairs = promising(crossing.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()).select("a", "b")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(confirm(pairs), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+            found = written(exhaust(placed, written(sizes.select("bucket", F.col("top.comp").alias("top_comp")), "top")), "links")
         links = found if links is None else links.unionByName(found)
         if comp is None or not found.isEmpty():
             comp = written(components(links), "components")

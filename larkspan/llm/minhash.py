@@ -32,7 +32,7 @@ from larkspan.llm.graph import linked
 ROWS, BANDS, BITS = 5, 40, 2
 HASHES = ROWS * BANDS
 WORDS = -(-HASHES * BITS // 64)
-LIMIT, SLACK, ROUNDS = 80, 20, 3
+LIMIT, SLACK, ROUNDS, BLOCK = 80, 20, 3, 256
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -174,6 +174,56 @@ def confirm(pairs: DataFrame, texts: DataFrame, limit: int, size: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
+def exhaust(placed: DataFrame, top: DataFrame, known: DataFrame, limit: int, size: int) -> DataFrame:
+    """Links between nodes of different components that share an open bucket.
+
+    Buckets with the same most common component are one family; its outsiders meet all its members in
+    blocks of ``BLOCK`` times ``BLOCK`` nodes, each text going once to a block, so pairs never are rows.
+    Signatures go first and whole sets decide.  Small families share blocks.
+    """
+    family = written(placed.join(top, "bucket").groupBy(F.col("top_comp").alias("g"), "node").agg(F.max("comp").alias("comp")).withColumn("out", F.col("comp") != F.col("g")), "families")
+    sizes = family.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("rows"), F.ceil(F.count_if("out") / BLOCK).alias("outs"))
+    sizes = written(sizes, "family-sizes")
+    shared = max(1, family.count() // BLOCK)
+    at = family.join(sizes, "g")
+    number = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    outs = at.filter("out").withColumn("i", number("outs")).withColumn("j", spread("rows")).withColumn("side", F.lit(0))
+    rows = at.withColumn("j", number("rows")).withColumn("i", spread("outs")).withColumn("side", F.lit(1))
+    block = F.when(F.col("rows") == 1, F.pmod(F.xxhash64("g"), F.lit(shared))).otherwise(F.xxhash64("g", "i", "j"))
+    placed_ = written(outs.unionByName(rows).select(block.alias("block"), "g", "node", "comp", "side"), "blocks")
+    full = placed_.join(known, "node").select("block", "g", "node", "comp", "side", "text", *[f"sig.s{i}" for i in range(WORDS)])
+    least = HASHES * (0.25 + 0.75 * (limit - SLACK) / 100)
+
+    def test(pdf):
+        import pandas as pd
+
+        found = []
+        for _, family_ in pdf.groupby("g"):
+            a, b = family_[family_["side"] == 0], family_[family_["side"] == 1]
+            sig_a, sig_b = (x[[f"s{i}" for i in range(WORDS)]].to_numpy(np.int64).view(np.uint64) for x in (a, b))
+            comp_a, comp_b, node_a, node_b = a["comp"].to_numpy(), b["comp"].to_numpy(), a["node"].to_numpy(), b["node"].to_numpy()
+            sets: dict[int, frozenset] = {}
+            texts = dict(zip([*node_a, *node_b], [*a["text"], *b["text"]], strict=True))
+            for i in range(len(a)):
+                x = sig_a[i][None] ^ sig_b
+                agreeing = HASHES - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)
+                for j in np.flatnonzero((agreeing >= least) & (comp_b != comp_a[i])):
+                    pair = []
+                    for node in (node_a[i], node_b[j]):
+                        if node not in sets:
+                            sets[node] = shingles_of(texts[node], size)
+                        pair.append(sets[node])
+                    few, many = sorted(map(len, pair))
+                    if 100 * few >= limit * many:
+                        common = len(pair[0] & pair[1])
+                        if 100 * common >= limit * (few + many - common):
+                            found.append((max(node_a[i], node_b[j]), min(node_a[i], node_b[j])))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return full.groupBy("block").applyInPandas(test, "a long, b long").distinct()
+
+
 def classified(docs: DataFrame, key: str, text: str, size: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """The signatures of all rows, and (digest, group, component_id) of all classes with words."""
     base = signatures(docs, key, text, size)
@@ -193,7 +243,7 @@ def classified(docs: DataFrame, key: str, text: str, size: int, limit: int) -> t
         both = one.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
         return both.select("a", "b", estimate("sig_a", "sig_b").alias("likeness")).filter(F.col("likeness") >= best_possible)
 
-    comp = linked(members, promising, lambda pairs: confirm(pairs, texts, limit, size), ROUNDS)
+    comp = linked(members, promising, lambda pairs: confirm(pairs, texts, limit, size), lambda placed, top: exhaust(placed, top, texts.join(sigs, "node"), limit, size), ROUNDS)
     group = F.coalesce("component", "node")
     placed = classes.join(comp, "node", "left").select("digest", "low", group.alias("group"))
     lowest = written(placed.groupBy("group").agg(F.min("low").alias("component_id")), "lowest")
