@@ -52,7 +52,7 @@ class _Parts(dict):
 
 
 class Transducer:
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 250_000):
         from sentencepiece import sentencepiece_model_pb2 as model
 
         m = model.ModelProto()
@@ -79,11 +79,15 @@ class Transducer:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.paths: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.entries = entries
         self.out = [p.replace(MARK, " ").encode() if k == _NORMAL else b"" for p, k in zip(self.pieces, kinds, strict=True)]
         for b, i in self.byte.items():
             self.out[i] = bytes([b])
         self.out[kinds.index(_UNKNOWN)] = m.trainer_spec.unk_surface.encode()
+        self.sizes = np.array([len(x) for x in self.out])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.out), np.uint8)
 
     def arcs(self, part: str) -> Iterator[tuple[int, int, int]]:
         """(from, to, piece) of the lattice by the place of their end."""
@@ -93,7 +97,7 @@ class Transducer:
     def path(self, part: str) -> list[int]:
         """Ids along the shortest path of a part, blanks already being marks."""
         n, known, fits = len(part), self.known, self.fits
-        if len(known) > self.entries:
+        if len(known) > 4 * self.entries:
             known.clear()
         # last piece at each place: -2 none yet, -1 a byte run, which any piece may follow
         last, came = [-1] + [-2] * n, [0] * (n + 1)
@@ -150,17 +154,19 @@ class Transducer:
         """Ids of a text as 32-bit integers."""
         if not text:
             return b""
-        rows, paths = self.parts(text), self.paths
+        rows, paths, older = self.parts(text.replace(MARK, " ")), self.paths, self.older
         long = []
         for p in set(rows).difference(paths):
-            paths[p] = self._part(p)
+            found = older.get(p)
+            paths[p] = self._part(p) if found is None else found
             if len(p) > 64:
                 long.append(p)
         out = b"".join([paths[p] for p in rows])
         for p in long:
             del paths[p]
         if len(paths) > self.entries:
-            paths.clear()
+            # what is used again comes over from the older half
+            self.paths, self.older = {}, paths
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -168,6 +174,15 @@ class Transducer:
         out = self.out
         return b"".join([out[i] for i in ids]).decode(errors="replace").removeprefix(" ")
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """As ``decode`` for many rows, whose ids end at the given places."""
+        sizes = self.sizes[ids]
+        to = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - (to - sizes), sizes) + np.arange(to[-1] if len(to) else 0)
+        raw = self.flat[at].tobytes()
+        cuts = np.concatenate([[0], to])[ends].tolist()
+        return [raw[a:b].decode(errors="replace").removeprefix(" ") for a, b in zip([0, *cuts], cuts, strict=False)]
+
 
 @functools.lru_cache(maxsize=1)
 def _transducer(path: str) -> Transducer:
@@ -202,7 +217,9 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", text: str = "text")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [t.decode(x.values.to_pylist() if x.is_valid else []) for x in part.column(names.index(ids))]
+                column = part.column(names.index(ids))
+                sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                texts = t.decode_all(column.flatten().to_numpy(), np.cumsum(sizes))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, text])
 
     return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{text}` string")
