@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import table, written
+from larkspan.llm._common import bounded, table, written
 from larkspan.llm.graph import linked
 
 ROWS, BANDS, BITS = 5, 40, 2
@@ -153,10 +153,13 @@ def signatures(docs: DataFrame, key: str, text: str, size: int = 2) -> DataFrame
 def confirm(pairs: DataFrame, texts: DataFrame, limit: int, size: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= limit * union of their whole sets.
 
-    Pairs meet texts by a, then by b; both sides of both joins are plain shuffles, so adaptive execution splits a hub's pairs.
+    A bounded table of pairs goes to the texts, so only texts of pairs are shuffled; a larger one meets them
+    by a, then by b, both sides of both joins being plain shuffles, so adaptive execution splits a hub's pairs.
     """
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    pairs = bounded(pairs)
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(pairs, "a")
+    wanted = texts.join(pairs.select(F.col("b").alias("node")), "node", "left_semi")
+    both = one.join(wanted.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -271,7 +274,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 def _texts(docs: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
     """node and text of the candidate classes; a node's row is found by key and a hash of the text."""
     rows = docs.select(docs[key].alias("d_key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("d_print"))
-    want = known.select("node", "key", "print")
+    want = bounded(written(known.select("node", "key", "print"), "wanted"))
     got = rows.join(want, rows.d_key.eqNullSafe(want.key) & (rows.d_print == want["print"])).select("node", "text")
     return written(got.dropDuplicates(["node"]), "texts")
 
