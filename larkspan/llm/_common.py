@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does when the driver collects garbage; for steps that shuffle about as much as their input."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """A written table marked for broadcast if it has at most so many rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df

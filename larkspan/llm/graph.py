@@ -52,6 +52,7 @@ def linked(
     confirm: Callable[[DataFrame], DataFrame],
     exhaust: Callable[[DataFrame, DataFrame], DataFrame],
     rounds: int = 3,
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """(node, component) of the nodes that a confirmed link reaches, candidates being nodes in one bucket.
 
@@ -61,9 +62,11 @@ def linked(
     the likeliest is confirmed.  After the rounds, exhaust gets what is still open, (bucket, node, comp)
     and (bucket, top_comp): the members outside a bucket's most common component have to be held against
     all its members of other components, and it gives the links among them.  So no candidates stay
-    untested unless they are connected anyway, and components are those of testing all pairs.
+    untested unless they are connected anyway, and components are those of testing all pairs.  links, if
+    given, are written links found before.
     """
-    links = tested = comp = None
+    tested = None
+    comp = None if links is None else written(components(links), "components")
     for i in range(rounds + 1):
         if comp is None:
             placed = members.withColumn("comp", F.col("node"))

@@ -114,7 +114,9 @@ def distance(a, b):
     return row[-1]
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("small", [64, 3])
+def test_lines(spark, monkeypatch, small):
+    monkeypatch.setattr(fuzzy_lines, "SMALL", small)
     rng = random.Random(8)
     long = [f"w{rng.randrange(1000)}" for _ in range(120)]
     lines = [" ".join([*long[:i], "zz", *long[i + 1 :]]) for i in range(0, 120, 4)]
