@@ -3,8 +3,10 @@
 ``scan`` reads each whole text once.  It gives the base spans and the loose candidates: strings shaped
 like an identifier that the base expressions did not take, and for both the words before them.
 Patterns are those words (the last one, and the last two) with a kind.  ``bootstrap`` scores the graph
-of patterns and instances in rounds: a pattern's confidence is the mean confidence of all it precedes,
-of whatever kind; an instance's is one less the chance that all its patterns are wrong; seeds keep 1.
+of patterns and instances in rounds until no pattern is added: a pattern's confidence is the share of its
+kind in all that is known of what it precedes: seeds of all kinds, places where no identifier follows, and
+candidates at the confidence that accepted patterns gave them.  Candidates of which nothing is known take
+no part.  An instance's confidence is one less the chance that all its patterns are wrong; seeds keep 1.
 Patterns of at least ``MIN_CONFIDENCE`` that stand before ``MIN_SEEDS`` different seeds in as many texts
 turn the candidates behind them into spans.  Graph edges are counted before any shuffle, so a word or an
 identifier that a third of all rows share is one row a task.
@@ -25,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import table, written
+from larkspan.llm._common import bounded, table, written
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_CONFIDENCE, MIN_SEEDS, ROUNDS = 0.9, 5, 3
+MIN_CONFIDENCE, MIN_SEEDS = 0.9, 5
 CONTEXT_CHARS = 80
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -117,12 +119,17 @@ def contexts(text: str, start: int) -> list[str]:
     return [" ".join(words[-n:]) for n in range(1, len(words) + 1)]
 
 
+def firsts(text: str, starts: list[int]) -> list[bool]:
+    """Of places in order, whether a word stands between each and the place before."""
+    return [_WORD.search(text, before, at) is not None for before, at in zip([0, *starts], starts, strict=False)]
+
+
 def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-_MARK = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("seed", pa.bool_()), ("instance", pa.string()), ("before", pa.list_(pa.string()))])
-_SCANNED = "row_id long, key {}, n_email long, n_ip long, n_card long, n_phone long, base string, marks array<struct<kind int, start int, stop int, seed boolean, instance string, before array<string>>>"
+_MARK = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("seed", pa.bool_()), ("first", pa.bool_()), ("instance", pa.string()), ("before", pa.list_(pa.string()))])
+_SCANNED = "row_id long, key {}, n_email long, n_ip long, n_card long, n_phone long, base string, marks array<struct<kind int, start int, stop int, seed boolean, first boolean, instance string, before array<string>>>"
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,8 +146,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 for k in range(4):
                     counts[k].append(sum(x[1] == k for x in base))
                 base_text.append(spell(base))
-                both = [(*x, True) for x in base] + [(*x, False) for x in loose_spans(t, base)]
-                marks.append([{"kind": k, "start": s, "stop": e, "seed": seed, "instance": t[s:e][:200].lower(), "before": contexts(t, s)} for s, k, e, seed in both])
+                both = sorted([(*x, True) for x in base] + [(*x, False) for x in loose_spans(t, base)])
+                marks.append([{"kind": k, "start": s, "stop": e, "seed": seed, "first": first, "instance": t[s:e][:200].lower(), "before": contexts(t, s)} for (s, k, e, seed), first in zip(both, firsts(t, [x[0] for x in both]), strict=True)])
             rows = pa.array(range(first + n, first + n + batch.num_rows), pa.int64())
             n += batch.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -153,32 +160,46 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return written(rows, "marks")
 
 
-def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """Accepted patterns: (pattern, kind, confidence)."""
+def occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pattern, places): how often each wanted word or pair of words following each other is in the texts."""
+    words = texts.toDF("text").filter("text IS NOT NULL").select(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(0)).alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip(F.col("w").alias("x"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))").alias("y"))).alias("p"))
+    each = pairs.select(F.explode(F.array("p.x", F.concat("p.x", F.lit(" "), "p.y"))).alias("pattern"))
+    return each.join(bounded(wanted), "pattern").groupBy("pattern").agg(F.count("*").alias("places"))
+
+
+def bootstrap(scanned: DataFrame, texts: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """Accepted patterns: (pattern, kind, confidence).  texts has the text column that was scanned."""
     marks = scanned.select("row_id", F.explode("marks").alias("m")).select("row_id", "m.*")
     edges = written(
-        marks.select("row_id", "kind", "instance", "seed", F.explode("before").alias("pattern"))
+        marks.select("row_id", "kind", "instance", "seed", "first", F.explode("before").alias("pattern"))
         .groupBy("pattern", "kind", "instance")
-        .agg(F.max("seed").alias("seed"), F.count("*").alias("n")),
+        .agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.count_if("first").alias("firsts")),
         "pattern-edges",
     )
-    # what a pattern precedes of any kind counts against each of its kinds
-    seen = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
+    able = written(edges.groupBy("pattern", "kind").agg(F.count_if("seed").alias("seeds")).filter(F.col("seeds") >= min_seeds), "able-patterns")
+    wanted = written(able.select("pattern").distinct(), "wanted-patterns")
+    met = edges.groupBy("pattern").agg(F.sum("firsts").alias("met"))
+    places = occurrences(texts, wanted).join(met, "pattern", "left")
+    # places of a pattern with no identifier behind it count against each of its kinds
+    plain = written(places.select("pattern", F.greatest(F.lit(0), F.col("places") - F.coalesce("met", F.lit(0))).alias("plain")), "plain-places")
     instance = edges.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("conf"))
-    patterns = None
-    for i in range(rounds):
-        scored = edges.join(instance, ["kind", "instance"]).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("conf")).alias("good"), F.count_if("seed").alias("seeds"))
-        patterns = written(scored.join(seen, "pattern").select("pattern", "kind", "seeds", (F.col("good") / F.col("total")).alias("confidence")), f"patterns-{i}")
-        if i + 1 < rounds:
-            sure = patterns.filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds))
-            wrong = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce(F.col("confidence"), F.lit(0.0))))))
-            instance = written(
-                edges.join(sure.select("pattern", "kind", "confidence"), ["pattern", "kind"], "left")
-                .groupBy("kind", "instance")
-                .agg(F.when(F.max("seed"), 1.0).otherwise(1 - wrong).alias("conf")),
-                f"instances-{i}",
-            )
-    return patterns.filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds)).select("pattern", "kind", "confidence")
+    sure, many = None, 0
+    while True:
+        known = edges.join(instance.filter("conf > 0"), ["kind", "instance"]).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("conf")).alias("good"), F.sum("n").alias("n"))
+        total = known.groupBy("pattern").agg(F.sum("n").alias("total"))
+        scored = able.join(known, ["pattern", "kind"]).join(total, "pattern").join(plain, "pattern", "left")
+        patterns = scored.select("pattern", "kind", (F.col("good") / (F.col("total") + F.coalesce("plain", F.lit(0)))).alias("confidence")).filter(F.col("confidence") >= min_confidence)
+        # a pattern once accepted stays, so the rounds end
+        sure = written(patterns if sure is None else sure.unionByName(patterns.join(sure, ["pattern", "kind"], "left_anti")), "sure-patterns")
+        before, many = many, sure.count()
+        if many == before:
+            return sure
+        wrong = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce(F.col("confidence"), F.lit(0.0))))))
+        instance = written(
+            edges.join(sure, ["pattern", "kind"], "left").groupBy("kind", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - wrong).alias("conf")),
+            "instances",
+        )
 
 
 def discover(scanned: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -193,7 +214,7 @@ def discover(scanned: DataFrame, accepted: DataFrame) -> DataFrame:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, counts of the base kinds, base (spans in words) and spans (base and found ones)."""
     scanned = scan(docs, key, text)
-    found = discover(scanned, bootstrap(scanned))
+    found = discover(scanned, bootstrap(scanned, docs.select(text)))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     word = lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["stop"])
     own = F.transform(F.filter("marks", lambda m: m["seed"]), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["stop"].alias("stop")))
@@ -224,7 +245,7 @@ def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str |
     print_ = F.xxhash64(docs[text])
     ids = docs.select(docs[key].alias("key"), docs[text].alias("text"), print_.alias("print"))
     scanned = scan(ids.select(F.struct("key", "print").alias("both"), "text"), "both", "text")
-    found = discover(scanned, bootstrap(scanned))
+    found = discover(scanned, bootstrap(scanned, ids.select("text")))
     by_row = written(scanned.join(found, "row_id").groupBy("key").agg(F.first("found").alias("found")).select(F.col("key.key").alias("f_key"), F.col("key.print").alias("f_print"), "found"), "found")
     joined = docs.withColumn("_print", print_).join(by_row, docs[key].eqNullSafe(by_row.f_key) & (F.col("_print") == by_row.f_print), "left").drop("f_key", "f_print", "_print")
     names, at = docs.columns, docs.columns.index(text)

@@ -115,6 +115,17 @@ def test_bootstrap_finds_unseen(spark, odd):
     assert pii.mask(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("unseen", [5, 10, 25])
+def test_bootstrap_with_many_unseen(spark, unseen):
+    """Of 50 numbers behind a pattern 10 % to 50 % are unseen; a pattern that words mostly follow stays out."""
+    rows = [(i, f"call me under +1 (444) 555-{1000 + i} then") for i in range(50 - unseen)]
+    rows += [(100 + i, f"call me under 030 555 {1000 + i} today") for i in range(unseen)]
+    rows += [(200 + i, f"we saw +1 (444) 666-{1000 + i}") for i in range(6)] + [(300 + i, f"we saw 030 777 {1000 + i}") for i in range(6)]
+    rows += [(400 + i, "what we saw there") for i in range(20)]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + i] == "phone:14:26" for i in range(unseen)) and not any(got[300 + i] for i in range(6))
+
+
 def test_pii_query(spark, sf, docs):
     got = {r.doc_id: r for r in registry.QUERIES["op4_contextual_pii"](spark, sf).collect()}
     for i, t in zip(docs.doc_id, docs.text, strict=True):
