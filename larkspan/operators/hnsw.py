@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql.window import Window
 from larkspan.types import check_k
 
 MAX_LEVEL = 16
+BLOCK_QUERIES = 10_000
 NODES = "shard int, node_id long, level int, links array<array<long>>, vector array<double>"
 
 
@@ -178,17 +180,8 @@ def build(df: DataFrame, key: str = "vec_id", vec: str = "embedding", m: int = 1
     return rows.groupBy("shard").applyInPandas(run, NODES)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 100, m: int = 16, allowed: DataFrame | None = None, with_stats: bool = False) -> DataFrame:
-    """query_id, rank, node_id and distance; queries are (query_id, query), a table that fits a task (10 000 at most).
-
-    Each shard answers all queries; the k best of all shards are ranked, ties to the smaller id.
-    """
-    check_k(k)
-    got = queries.limit(10_001).toPandas()
-    if len(got) > 10_000:
-        raise ValueError("search in blocks of 10 000 queries")
-    qids, q = got["query_id"].tolist(), np.array(got["query"].tolist(), float)
-    marked = index if allowed is None else index.join(allowed.select(F.col(allowed.columns[0]).alias("node_id"), F.lit(True).alias("ok")), "node_id", "left")
+def _block(marked: DataFrame, qids: list[int], q: np.ndarray, k: int, ef: int, m: int) -> DataFrame:
+    """What each shard finds for the queries of one block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id", ignore_index=True)
@@ -201,7 +194,24 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 100, m: int =
             out += [(i, int(g.ids[n]), d, g.visited, g.computed, g.levels[g.entry] + 1) for d, n in found]
         return pd.DataFrame(out, columns=["query_id", "node_id", "distance", "visited", "computed", "layers"])
 
-    each = marked.groupBy("shard").applyInPandas(run, "query_id long, node_id long, distance double, visited long, computed long, layers long")
+    return marked.groupBy("shard").applyInPandas(run, "query_id long, node_id long, distance double, visited long, computed long, layers long")
+
+
+def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 100, m: int = 16, allowed: DataFrame | None = None, with_stats: bool = False) -> DataFrame:
+    """query_id, rank, node_id and distance; queries are (query_id, query).
+
+    Up to ``BLOCK_QUERIES`` queries are sent to every task; more go in blocks of about that many, each a pass over the index.  Each shard answers all queries; the k best of all shards are ranked, ties to the smaller id.
+    """
+    check_k(k)
+    rows = queries.count()
+    blocks = max(1, -(-rows // BLOCK_QUERIES))
+    marked = index if allowed is None else index.join(allowed.select(F.col(allowed.columns[0]).alias("node_id"), F.lit(True).alias("ok")), "node_id", "left")
+    parts = []
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        got = part.toPandas()
+        parts.append(_block(marked, got["query_id"].tolist(), np.array(got["query"].tolist(), float), k, ef, m))
+    each = reduce(DataFrame.unionByName, parts)
     if with_stats:
         return each.groupBy("query_id").agg(F.count("*").alias("results"), F.max("visited").alias("visited"), F.max("computed").alias("distances"), F.max("layers").alias("layers"))
     w = Window.partitionBy("query_id").orderBy("distance", "node_id")

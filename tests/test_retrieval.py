@@ -128,6 +128,18 @@ def test_hnsw_recall(spark, sf):
     assert hnsw.search(index, q, 5, with_stats=True).filter("visited > 0 and layers >= 1").count() == q.count()
 
 
+def test_hnsw_blocks(spark, sf, monkeypatch):
+    """Any number of queries: blocks of them give what one call gives, and more than 10 000 are answered."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").limit(60)
+    index = hnsw.build(e).cache()
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).cache()
+    many = q.crossJoin(spark.range(170)).select((F.col("query_id") * 1000 + F.col("id")).alias("query_id"), "query")
+    assert many.count() > 10_000 and hnsw.search(index, many, 1, ef=5).count() == many.count()
+    whole = set(hnsw.search(index, q, 5).collect())
+    monkeypatch.setattr(hnsw, "BLOCK_QUERIES", 17)
+    assert set(hnsw.search(index, q, 5).collect()) == whole and len(whole) == 5 * q.count()
+
+
 def test_hnsw_small():
     rng = np.random.default_rng(1)
     g = hnsw.Graph(np.arange(1000), rng.random((1000, 2)), 16, 40).build()
