@@ -158,6 +158,26 @@ def test_lines(spark, monkeypatch, small):
     assert got.columns == [*df.columns, "n_lines", "n_dropped"] and fuzzy_lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_by_edits(spark):
+    """Pairs that only the edit rule makes: one and two changed words at several lengths, and one letter of tiny lines."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
+    lines = [("ab cd", "ab xd"), ("ab cd", "abcd"), ("thing", "thingy")]
+    for n in (10, 20, 40, 80):
+        for changes in (1, 2):
+            for _ in range(15):
+                w = [word() for _ in range(n)]
+                v = list(w)
+                for i in rng.sample(range(n), changes):
+                    v[i] = word()
+                lines.append((" ".join(w), " ".join(v)))
+    lines = [(a, b) for a, b in lines if distance(a, b) <= max(len(a), len(b)) * 20 // 100]
+    rows = [(2 * i + j, x) for i, pair in enumerate(lines) for j, x in enumerate(pair)]
+    got = {r.doc_id: r.n_dropped for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[2 * i] for i in range(1, len(lines)) if lines[i][0] != lines[0][0])
+    assert sum(got[2 * i + 1] for i in range(len(lines))) >= 0.97 * len(lines) > 100
+
+
 @pytest.mark.parametrize("lines", [10, 10**5, 10**7, 10**11])
 def test_blocks_cover(lines):
     rng = random.Random(lines)
