@@ -6,18 +6,19 @@ and largest norm.  For a query q, a vector x at distance r from pivot p is at le
 
     q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2 <= (|q|^2 + max |x|^2 - gap^2) / 2
 
-bounds every score in a block, gap being how far d(q, p) lies outside the block's radii.  First each query
-reads the blocks with its ``FIRST`` highest bounds; its k-th score so far then rules out every block whose
-bound is lower, and the remaining annuli are read.  A bound that only ties is read, as ties go to the smaller id.
+bounds every score in a block, gap being how far d(q, p) lies outside the block's radii.  A query's blocks are
+sorted by their bounds and read in growing steps: the first ``FIRST``, then four times as many each time; its k-th score so far
+stops it at the first block whose bound is lower.  A bound that only ties is read, as ties go to the smaller id.
 
 Queries and vectors are packed into rows of many, and a pair of packs is one matrix product; the table of
 blocks is broadcast and has ``MAX_BLOCKS`` rows at most.  Pivots are fitted on the ``SAMPLE`` rows with the
 smallest hash of their id; they affect speed alone.
 
-Defined results: a vector that is null, or holds a null or non-finite component, or one of 2 ** 23 or
-more, takes no part, nor does a null id; vectors of different length are compared as if the shorter ended
-in zeros; equal vectors and repeated rows are separate candidates; a query's own id never is one; with
-fewer than k candidates all are given; an empty table gives no rows.
+Defined results: a vector that is null, or holds a null or non-finite component, takes no part, nor does a null
+id; scores are exact whatever the size of components, and those beyond a long count as its greatest or least value;
+vectors of different length are compared as if the shorter ended in zeros; equal vectors and repeated rows
+are separate candidates; a query's own id never is one; with fewer than k candidates all are given; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspan.llm._common import table, written
+from larkspan.llm._common import place, table, unnamed, written
 
 SAMPLE, PIVOTS, BLOCK, MAX_BLOCKS, CHUNK, FIRST = 4096, 64, 2048, 1 << 16, 1024, 2
-_EXACT = float(1 << 53)
+_EXACT, _MOST = float(1 << 53), np.finfo(np.float64).max.item()
 
 
 def fit_pivots(sample: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
@@ -54,16 +55,39 @@ def fit_pivots(sample: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
     return centres
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products, the shorter vectors as if ending in zeros."""
+    n = min(a.shape[1], b.shape[1])
+    return a[:, :n] @ b[:, :n].T
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0))
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * products(a, b), 0))
+
+
+def integer_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products of integers held as doubles, exact; those beyond a long are cut to it."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = products(queries, vectors)
+        most = np.sqrt((queries**2).sum(1))[:, None] * np.sqrt((vectors**2).sum(1))[None]
+        large = ~(most < _EXACT)
+        out = np.where(large, 0, scores).astype(np.int64)
+    n = min(queries.shape[1], vectors.shape[1])
+    for i in np.flatnonzero(large.any(1)):
+        at = np.flatnonzero(large[i])
+        if most[i, at].max() < 2.0**62 and np.abs(queries[i]).max() < 2.0**62 and np.abs(vectors[at]).max() < 2.0**62:
+            out[i, at] = vectors[at, :n].astype(np.int64) @ queries[i, :n].astype(np.int64)
+        else:
+            q = [int(x) for x in queries[i, :n]]
+            exact = [sum(x * int(y) for x, y in zip(q, v[:n], strict=True) if x) for v in vectors[at]]
+            out[i, at] = [min(max(x, -(1 << 63) + 1), (1 << 63) - 1) for x in exact]
+    return out
 
 
 def top(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of queries, id, score) of the k best for each query; ids ascending, ties to the smaller one."""
-    if len(queries) and len(vectors) and np.sqrt((queries**2).sum(1).max() * (vectors**2).sum(1).max()) >= _EXACT:
-        scores = queries.astype(np.int64) @ vectors.astype(np.int64).T
-    else:
-        scores = (queries @ vectors.T).astype(np.int64)
+    scores = integer_scores(queries, vectors)
     low = np.iinfo(np.int64).min
     scores[query_ids[:, None] == ids[None]] = low
     if scores.shape[1] > k:
@@ -82,24 +106,30 @@ def top(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np
 def scaled(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
     """id and the vector's components times scale, floored."""
     v = F.col("v")
-    good = v.isNotNull() & F.col("id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(1 << 23)))
-    rows = vectors.select(vectors[key].cast("long").alias("id"), vectors[vector].cast("array<double>").alias("v")).filter(good)
-    return rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    good = v.isNotNull() & F.col("id").isNotNull() & F.forall(v, finite)
+    plain, names = unnamed(vectors)
+    rows = plain.select(plain[f"_{place(names, key)}"].cast("long").alias("id"), plain[f"_{place(names, vector)}"].cast("array<double>").alias("v")).filter(good)
+    # from 2 ** 52 on doubles are integers, and floor() ends at the longs
+    whole = lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(F.greatest(F.least(y, F.lit(_MOST)), F.lit(-_MOST)))
+    return rows.select("id", F.transform("v", lambda x: whole(x * scale)).alias("v"))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of a list column, ending in zeros."""
+def _runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(from, to, matrix) of neighbouring rows of one length."""
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    if len(sizes) and (sizes == dim).all():
-        return flat.reshape(-1, dim)
-    out = np.zeros((len(sizes), dim))
-    out[np.arange(dim)[None] < sizes[:, None]] = flat
-    return out
+    edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
+    at = 0
+    for i, j in zip(edges, edges[1:], strict=False):
+        if i < j:
+            n = (j - i) * int(sizes[i])
+            yield i, j, flat[at : at + n].reshape(j - i, int(sizes[i]))
+            at += n
 
 
-def _packs(rows: DataFrame, size: int, dim: int) -> DataFrame:
-    """Rows sorted by pivot and distance, packed by at most ``size`` of one pivot; in a pack, by id."""
+def _packs(rows: DataFrame, size: int) -> DataFrame:
+    """Rows sorted by pivot, length and distance, packed by at most ``size`` of one pivot and length; in a pack, by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId() << 32, 0
@@ -109,75 +139,85 @@ def _packs(rows: DataFrame, size: int, dim: int) -> DataFrame:
             nonlocal n
             ids, dist, vecs = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
             by = np.argsort(ids, kind="stable")
+            with np.errstate(over="ignore"):
+                norm2 = (vecs**2).sum(1).max()
             b = pa.RecordBatch.from_arrays(
-                [pa.array([part + n], pa.int64()), pa.array([held[0][0]], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([dist.min()]), pa.array([dist.max()]), pa.array([(vecs**2).sum(1).max()]), pa.array([ids[by].tobytes()], pa.binary()), pa.array([vecs[by].tobytes()], pa.binary())],
-                ["pack", "pivot", "rows", "inner", "outer", "norm2", "ids", "vectors"],
+                [pa.array([part + n], pa.int64()), pa.array([held[0][0]], pa.int32()), pa.array([vecs.shape[1]], pa.int32()), pa.array([dist.min()]), pa.array([dist.max()]), pa.array([norm2]), pa.array([ids[by].tobytes()], pa.binary()), pa.array([vecs[by].tobytes()], pa.binary())],
+                ["pack", "pivot", "dim", "inner", "outer", "norm2", "ids", "vectors"],
             )
             n += 1
             held.clear()
             return b
 
         for batch in batches:
-            pivot, dist = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            ids, vecs = batch.column(0).to_numpy(), _matrix(batch.column(3), dim)
-            at = 0
-            while at < len(ids):
-                if held and (held[0][0] != pivot[at] or sum(len(h[1]) for h in held) >= size):
-                    yield out()
-                room = size - sum(len(h[1]) for h in held)
-                to = min(len(ids), at + room, at + int(np.argmax(np.append(pivot[at:] != pivot[at], True))))
-                held.append((int(pivot[at]), ids[at:to], dist[at:to], vecs[at:to]))
-                at = to
+            pivots, dists = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            every = batch.column(0).to_numpy()
+            for i, j, vecs in _runs(batch.column(3)):
+                pivot, dist, ids, at = pivots[i:j], dists[i:j], every[i:j], 0
+                while at < len(ids):
+                    if held and (held[0][0] != pivot[at] or held[0][3].shape[1] != vecs.shape[1] or sum(len(h[1]) for h in held) >= size):
+                        yield out()
+                    room = size - sum(len(h[1]) for h in held)
+                    to = min(len(ids), at + room, at + int(np.argmax(np.append(pivot[at:] != pivot[at], True))))
+                    held.append((int(pivot[at]), ids[at:to], dist[at:to], vecs[at:to]))
+                    at = to
         if held:
             yield out()
 
-    ranged = rows.repartitionByRange("pivot", "dist", "id").sortWithinPartitions("pivot", "dist", "id")
-    return written(ranged.mapInArrow(run, "pack long, pivot int, rows int, inner double, outer double, norm2 double, ids binary, vectors binary"), "packs")
+    by = ["pivot", F.size("v"), "dist", "id"]
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    return written(ranged.mapInArrow(run, "pack long, pivot int, dim int, inner double, outer double, norm2 double, ids binary, vectors binary"), "packs")
 
 
 def search(vectors: DataFrame, query_condition: str, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of each row that satisfies the condition on ``id``."""
+    spark = vectors.sparkSession
     rows = written(scaled(vectors, key, vector, scale), "scaled")
-    about = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    dim, size = about["dim"] or 1, max(BLOCK, -(-about["n"] // MAX_BLOCKS))
+    size = max(BLOCK, -(-rows.count() // MAX_BLOCKS))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()["v"].tolist()
-    centres = fit_pivots(np.array([list(x) + [0.0] * (dim - len(x)) for x in sample]).reshape(-1, dim))
+    # pivots have the length that most of the sample has, so that one long vector costs nothing
+    lengths = np.bincount([len(x) for x in sample]) if sample else np.array([0])
+    centres = fit_pivots(np.array([x for x in sample if len(x) == lengths.argmax()]).reshape(-1, int(lengths.argmax())))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = distances(_matrix(batch.column(1), dim), centres)
-            near = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.int32()), pa.array(d[np.arange(len(near)), near]), batch.column(1)], ["id", "pivot", "dist", "v"])
+            for i, j, vecs in _runs(batch.column(1)):
+                d = distances(vecs, centres)
+                near = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(near, pa.int32()), pa.array(d[np.arange(j - i), near]), batch.column(1).slice(i, j - i)], ["id", "pivot", "dist", "v"])
 
     keyed = written(rows.mapInArrow(assign, "id long, pivot int, dist double, v array<double>"), "keyed")
-    blocks = _packs(keyed, size, dim)
-    chunks = _packs(keyed.filter(query_condition), CHUNK, dim)
-    # MAX_BLOCKS blocks and one more for each pivot and range at most, 44 bytes each
+    blocks = _packs(keyed, size)
+    chunks = _packs(keyed.filter(query_condition), CHUNK)
+    # MAX_BLOCKS blocks and one more for each pivot, length and range at most, 44 bytes each
     known = blocks.select("pack", "pivot", "inner", "outer", "norm2").toPandas()
     block, pivot, inner, outer, norm2 = (known[c].to_numpy() for c in known.columns)
 
     def bounds(queries: np.ndarray) -> np.ndarray:
-        d = distances(queries, centres)[:, pivot]
-        gap = np.maximum(np.maximum(inner[None] - d, d - outer[None]) - 1e-6 * (1 + d), 0)
-        return ((queries**2).sum(1)[:, None] + norm2[None] - gap**2) / 2 + 1e-3
-
-    def units(best: bool):
-        """(chunk, block, queries that read it): the first blocks, or those that the k-th score so far leaves."""
+        """Bounds of all blocks for each query; where doubles can't tell, infinite, so that the block is read."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            d, q2 = distances(queries, centres)[:, pivot], (queries**2).sum(1)[:, None]
+            # rounding in a distance grows with the vectors it is between
+            blur = 1e-6 * (1 + d + np.sqrt(q2) + np.sqrt(norm2)[None])
+            gap = np.maximum(np.maximum(inner[None] - d, d - outer[None]) - blur, 0)
+            u = (q2 + norm2[None] - gap**2) / 2 + 1e-3 + 1e-9 * (q2 + norm2[None])
+        return np.where(np.isfinite(u), u, np.inf)
+
+    def units(begin: int, end: int):
+        """(chunk, block, queries that read it): the blocks from place begin to end of a query that its k-th score so far leaves."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in range(batch.num_rows):
-                    queries = np.frombuffer(batch.column(1)[row].as_py()).reshape(-1, dim)
+                    dim = batch.column(2)[row].as_py()
+                    queries = np.frombuffer(batch.column(1)[row].as_py()).reshape(-1, dim) if dim else np.zeros((batch.column(3)[row].as_py(), 0))
                     u = bounds(queries)
-                    first = np.zeros(u.shape, bool)
-                    np.put_along_axis(first, np.argsort(-u, axis=1, kind="stable")[:, :FIRST], True, axis=1)
-                    if best:
-                        want = first
-                    else:
-                        least = np.full(len(queries), -np.inf)
-                        for s in batch.column(2)[row].as_py() or ():
-                            least[s["at"]] = s["kth"]
-                        want = (u >= least[:, None]) & ~first
+                    least = np.full(len(queries), -np.inf)
+                    for s in batch.column(4)[row].as_py() or ():
+                        least[s["at"]] = s["kth"]
+                    next_ = np.zeros(u.shape, bool)
+                    np.put_along_axis(next_, np.argsort(-u, axis=1, kind="stable")[:, begin:end], True, axis=1)
+                    want = next_ & (u >= least[:, None])
                     for b in np.flatnonzero(want.any(0)):
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([block[b]], pa.int64()), pa.array([np.flatnonzero(want[:, b]).tolist()], pa.list_(pa.int32()))], ["chunk", "pack", "at"])
 
@@ -186,28 +226,32 @@ def search(vectors: DataFrame, query_condition: str, k: int = 5, key: str = "vec
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                chunk, at, q_ids, q, ids, v = (batch.column(i)[row].as_py() for i in range(6))
-                at = np.array(at, np.int64)
-                q_ids, q = np.frombuffer(q_ids, np.int64)[at], np.frombuffer(q).reshape(-1, dim)[at]
-                i, found, scores = top(q, q_ids, np.frombuffer(v).reshape(-1, dim), np.frombuffer(ids, np.int64), k)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(i), pa.int64()), pa.array(at[i], pa.int32()), pa.array(q_ids[i]), pa.array(found), pa.array(scores)], ["chunk", "at", "query_id", "vec_id", "score"])
+                chunk, at, q_dim, q_ids, q, dim, ids, v = (batch.column(i)[row].as_py() for i in range(8))
+                at, q_ids, ids = np.array(at, np.int64), np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+                q, v = np.frombuffer(q).reshape(len(q_ids), q_dim), np.frombuffer(v).reshape(len(ids), dim)
+                i, found, scores = top(q[at], q_ids[at], v, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(i), pa.int64()), pa.array(at[i], pa.int32()), pa.array(q_ids[at][i]), pa.array(found), pa.array(scores)], ["chunk", "at", "query_id", "vec_id", "score"])
 
     def scored(work: DataFrame) -> DataFrame:
-        packs = chunks.select(F.col("pack").alias("chunk"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
+        packs = chunks.select(F.col("pack").alias("chunk"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
         # spread first, so that a chunk's or a block's units are computed by many tasks
-        joined = work.join(packs, "chunk").join(blocks.select("pack", "ids", "vectors"), "pack")
-        return joined.select("chunk", "at", "q_ids", "q", "ids", "vectors").mapInArrow(score, "chunk long, at int, query_id long, vec_id long, score long")
-
-    place = Window.partitionBy("chunk", "at").orderBy(F.desc("score"), "vec_id")
-    best = lambda df: df.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
-    source = chunks.select(F.col("pack").alias("chunk"), "vectors")
-    unit = "chunk long, pack long, at array<int>"
-    first = written(best(scored(written(source.mapInArrow(units(True), unit), "units"))).drop("rank"), "first")
-    kth = first.groupBy("chunk", "at").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
-    kth = kth.groupBy("chunk").agg(F.collect_list(F.struct("at", "kth")).alias("kth"))  # CHUNK entries at most
-    rest = written(source.join(kth, "chunk", "left").mapInArrow(units(False), unit), "units")
-    every = best(first.unionByName(scored(rest)))
-    return every.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        joined = work.join(packs, "chunk").join(blocks.select("pack", "dim", "ids", "vectors"), "pack")
+        return joined.select("chunk", "at", "q_dim", "q_ids", "q", "dim", "ids", "vectors").mapInArrow(score, "chunk long, at int, query_id long, vec_id long, score long")
+
+    by_rank = Window.partitionBy("chunk", "at").orderBy(F.desc("score"), "vec_id")
+    best = lambda df: df.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k)
+    source = chunks.select(F.col("pack").alias("chunk"), "vectors", "dim", F.expr("cast(length(ids) / 8 as int)").alias("n"))
+    found = spark.createDataFrame([], "chunk long, at int, query_id long, vec_id long, score long, rank int")
+    begin, end = 0, FIRST
+    while begin < len(block):
+        kth = found.groupBy("chunk", "at").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
+        kth = kth.groupBy("chunk").agg(F.collect_list(F.struct("at", "kth")).alias("kth"))  # CHUNK entries at most
+        work = written(source.join(kth, "chunk", "left").mapInArrow(units(begin, end), "chunk long, pack long, at array<int>"), "units")
+        if work.isEmpty():
+            break
+        found = written(best(found.drop("rank").unionByName(scored(work))), "found")
+        begin, end = end, end + 4 * (end - begin)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:

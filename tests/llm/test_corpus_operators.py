@@ -3,7 +3,9 @@
 import gzip
 import hashlib
 import heapq
+import math
 import random
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -193,11 +195,13 @@ def test_blocks_cover(lines):
 
 
 def plain_search(rows, k):
-    good = [(i, np.floor(256 * np.array(v, float))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    scaled = lambda x: 256 * x if abs(256 * x) < 2**52 else max(min(256 * x, sys.float_info.max), -sys.float_info.max)
+    good = [(i, [int(math.floor(scaled(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for i, q in good:
         if i % 50 == 0:
-            best = sorted((-int(sum(a * b for a, b in zip(q, v, strict=False))), j) for j, v in good if j != i)[:k]
+            cut = lambda x: min(max(x, -(1 << 63) + 1), (1 << 63) - 1)
+            best = sorted((-cut(sum(a * b for a, b in zip(q, v, strict=False))), j) for j, v in good if j != i)[:k]
             out |= {(i, r, j, -s) for r, (s, j) in enumerate(best, 1)}
     return out
 
@@ -207,11 +211,14 @@ def test_search(spark, monkeypatch):
     monkeypatch.setattr(pivot_index, "CHUNK", 4)
     rng = random.Random(9)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)]
+    rows += [(701 + i, [rng.choice([9e6, -3e15, 2.5e30, 1e306, 1.0, 0.0]) for _ in range(6)]) for i in range(50)] + [(800, [9e6, 0.5, 0.0, 0.0, 0.0, 0.0])]
     rows += [(400 + i, [1.0] * 6) for i in range(60)] + [(600, None), (601, [float("nan")] * 6), (602, [None] * 6), (None, [1.0] * 6), (650, [0.5, 0.5]), (700, [])]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, id int").select("vec_id", "embedding", "id")
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, id int").select("vec_id", "embedding", "id")
     got = {tuple(r) for r in pivot_index.search(df, "id % 50 = 0").collect()}
-    f32 = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    assert got == plain_search(f32, 5)
+    assert got == plain_search(rows, 5)
+    # a vector much longer than the others costs no memory in the rows beside it
+    long_ = df.unionByName(spark.createDataFrame([(900, [0.25] * 100_000, 1)], df.schema))
+    assert {tuple(r) for r in pivot_index.search(long_, "id % 50 = 0").collect()} == plain_search([*rows, (900, [0.25] * 100_000)], 5)
     assert pivot_index.search(df.filter("vec_id < 3"), "id % 50 = 0").count() == 2
     assert pivot_index.search(df.limit(0), "id % 50 = 0").count() == 0
 
