@@ -58,7 +58,7 @@ def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not lasting and getattr(_state, "paths", None):
         _state.paths[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
