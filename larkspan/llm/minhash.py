@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import bounded, table, written
+from larkspan.llm._common import bounded, place, steps, table, unnamed, written
 from larkspan.llm.graph import linked
 
 ROWS, BANDS, BITS = 5, 40, 2
@@ -255,20 +255,26 @@ def classified(docs: DataFrame, key: str, text: str, size: int, limit: int) -> t
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, limit: int = LIMIT) -> DataFrame:
     """key, n_shingles, component_id and kept for every row."""
-    base, classes = classified(docs, key, text, size, limit)
-    own = base.join(classes, "digest", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+    plain, names = unnamed(docs)
+    with steps(docs.sparkSession):
+        base, classes = classified(plain, f"_{place(names, key)}", f"_{place(names, text)}", size, limit)
+        own = base.join(classes, "digest", "left").select("key", "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+        own = written(own, "components", lasting=True).withColumnRenamed("key", key)
     return own.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, limit: int = LIMIT) -> DataFrame:
     """The rows and columns of the table with one row of each component: the one with the smallest key, null last; rows equal in key and text count as one."""
-    base, classes = classified(docs, key, text, size, limit)
-    rows = base.join(classes.select("digest", "group"), "digest", "left").select("key", "print", "group")
-    first = rows.filter("group IS NOT NULL").groupBy("group").agg(F.min_by(F.struct("key", "print"), F.struct(F.col("key").isNull(), "key", "print")).alias("k")).select("k.*")
-    stay = written(first.unionByName(rows.filter("group IS NULL").select("key", "print")).distinct(), "staying").withColumnsRenamed({"key": "k_key", "print": "k_print"})
-    print_ = F.xxhash64(docs[text])
-    found = docs.withColumn("_print", print_).join(stay, docs[key].eqNullSafe(stay.k_key) & (F.col("_print") == stay.k_print), "left_semi")
-    return found.dropDuplicates([key, "_print"]).drop("_print")
+    plain, names = unnamed(docs)
+    key_, text_ = f"_{place(names, key)}", f"_{place(names, text)}"
+    with steps(docs.sparkSession):
+        base, classes = classified(plain, key_, text_, size, limit)
+        rows = base.join(classes.select("digest", "group"), "digest", "left").select("key", "print", "group")
+        first = rows.filter("group IS NOT NULL").groupBy("group").agg(F.min_by(F.struct("key", "print"), F.struct(F.col("key").isNull(), "key", "print")).alias("k")).select("k.*")
+        stay = first.unionByName(rows.filter("group IS NULL").select("key", "print")).distinct()
+        stay = written(stay, "staying", lasting=True).withColumnsRenamed({"key": "k_key", "print": "k_print"})
+    found = plain.withColumn("print", F.xxhash64(text_)).join(stay, plain[key_].eqNullSafe(stay.k_key) & (F.col("print") == stay.k_print), "left_semi")
+    return found.dropDuplicates([key_, "print"]).drop("print").toDF(*names)
 
 
 def _texts(docs: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:

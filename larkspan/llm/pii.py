@@ -7,19 +7,18 @@ of patterns and instances in rounds until no pattern is added: a pattern's confi
 kind in all that is known of what it precedes: seeds of all kinds, places where no identifier follows, and
 candidates at the confidence that accepted patterns gave them.  Candidates of which nothing is known take
 no part.  An instance's confidence is one less the chance that all its patterns are wrong; seeds keep 1.
-Patterns of at least ``MIN_CONFIDENCE`` that stand before ``MIN_SEEDS`` different seeds in as many texts
+Patterns of at least ``MIN_CONFIDENCE`` that stand before ``MIN_SEEDS`` different seeds in as many different texts
 turn the candidates behind them into spans.  Graph edges are counted before any shuffle, so a word or an
 identifier that a third of all rows share is one row a task.
 
 Defined results: a null or empty text has no spans; spans count code points, the end exclusive; a found
 span never removes or changes a base span and never overlaps one; repeated rows get equal spans and
-count as one text each for support; candidates and words are bounded in length, texts are not.
+count as one text for support; texts, words and identifiers are read whole; names of other columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,11 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import bounded, table, written
+from larkspan.llm._common import bounded, place, steps, table, unnamed, written
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_CONFIDENCE, MIN_SEEDS = 0.9, 5
-CONTEXT_CHARS = 80
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a try inside a run of digits fails where the one at its start did, so only starts are tried
@@ -48,6 +46,7 @@ _LOOSE = {
     "phone": re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![0-9A-Za-z]|[.-][0-9])"),
 }
 _WORD = re.compile(r"[^\W\d_]+")
+_AT = re.compile(r"\(at\)|\[at\]|\{at\}", re.I)
 
 
 def _luhn(digits: str) -> bool:
@@ -94,29 +93,36 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     """Candidates that touch no base span; where two overlap, the earlier kind's and then the leftmost stays."""
     taken = sorted((s, e) for s, _, e in base)
     out: list[tuple[int, int, int]] = []
-
-    def free(s: int, e: int) -> bool:
-        i = bisect_left(taken, (s, e))
-        return not (i < len(taken) and taken[i][0] < e) and not (i and taken[i - 1][1] > s)
-
     digits = any(c in text for c in "0123456789")
     for k, kind in enumerate(KINDS):
-        if kind == "email" and "at" not in text.lower() or kind != "email" and not digits or kind == "ip" and text.count(":") < 3:
-            continue
-        if kind == "email" and not any(x in text for x in ("(at)", "[at]", "{at}", "(AT)", "[AT]", "{AT}", "(At)", "[At]")):
+        if kind != "email" and not digits or kind == "ip" and text.count(":") < 3 or kind == "email" and not _AT.search(text):
             continue
+        # a kind's matches don't overlap each other, so only spans of earlier kinds are in the way
+        free, i = [], 0
         for m in _LOOSE[kind].finditer(text):
-            if free(m.start(), m.end()):
-                out.append((m.start(), k, m.end()))
-                taken.append((m.start(), m.end()))
-                taken.sort()
+            s, e = m.span()
+            while i < len(taken) and taken[i][1] <= s:
+                i += 1
+            if i == len(taken) or taken[i][0] >= e:
+                free.append((s, e))
+        out += [(s, k, e) for s, e in free]
+        taken = sorted(taken + free)
     return sorted(out)
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """The last word and the last two words before a place, in lower case."""
-    words = [w.lower() for w in _WORD.findall(text[max(0, start - CONTEXT_CHARS) : start])[-2:]]
-    return [" ".join(words[-n:]) for n in range(1, len(words) + 1)]
+def contexts(text: str, starts: list[int]) -> list[list[str]]:
+    """For places in order, the last word and the last two words before each, in lower case."""
+    out, last, at = [], [], 0
+    for start in starts:
+        # a word that a place cuts is read up to it, and from its beginning again for the next place
+        found = list(_WORD.finditer(text, at, start))
+        last = [*last, *((m.start(), m[0].lower()) for m in found)][-2:]
+        out.append([" ".join(w for _, w in last[-n:]) for n in range(1, len(last) + 1)])
+        if found and found[-1].end() == start:
+            at, last = found[-1].start(), last[:-1]
+        else:
+            at = max(at, start)
+    return out
 
 
 def firsts(text: str, starts: list[int]) -> list[bool]:
@@ -129,35 +135,41 @@ def spell(spans: list[tuple[int, int, int]]) -> str:
 
 
 _MARK = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("seed", pa.bool_()), ("first", pa.bool_()), ("instance", pa.string()), ("before", pa.list_(pa.string()))])
-_SCANNED = "row_id long, key {}, n_email long, n_ip long, n_card long, n_phone long, base string, marks array<struct<kind int, start int, stop int, seed boolean, first boolean, instance string, before array<string>>>"
+_SCANNED = "row_id long, key {}, print long, n_email long, n_ip long, n_card long, n_phone long, base string, marks array<struct<kind int, start int, stop int, seed boolean, first boolean, instance string, before array<string>>>"
+
+
+def plain_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, print, text) under these names, print being a hash of the text."""
+    plain, names = unnamed(docs)
+    key_, text_ = plain[f"_{place(names, key)}"], plain[f"_{place(names, text)}"]
+    return plain.select(key_.alias("key"), F.xxhash64(text_).alias("print"), text_.alias("text"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: its base spans in words, their counts, and all marks (seeds and candidates) with their contexts."""
+def scan(rows: DataFrame) -> DataFrame:
+    """A row per document (key, print, text): its base spans in words, their counts, and all marks (seeds and candidates) with their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n = (TaskContext.get().partitionId() << 40), 0
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
             base_text, marks = [], []
-            for value in batch.column(1):
+            for value in batch.column(2):
                 t = value.as_py() or ""
                 base = base_spans(t)
                 for k in range(4):
                     counts[k].append(sum(x[1] == k for x in base))
                 base_text.append(spell(base))
                 both = sorted([(*x, True) for x in base] + [(*x, False) for x in loose_spans(t, base)])
-                marks.append([{"kind": k, "start": s, "stop": e, "seed": seed, "first": first, "instance": t[s:e][:200].lower(), "before": contexts(t, s)} for (s, k, e, seed), first in zip(both, firsts(t, [x[0] for x in both]), strict=True)])
-            rows = pa.array(range(first + n, first + n + batch.num_rows), pa.int64())
+                starts = [x[0] for x in both]
+                marks.append([{"kind": k, "start": s, "stop": e, "seed": seed, "first": first, "instance": t[s:e].lower(), "before": before} for (s, k, e, seed), first, before in zip(both, firsts(t, starts), contexts(t, starts), strict=True)])
+            numbers = pa.array(range(first + n, first + n + batch.num_rows), pa.int64())
             n += batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [rows, batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base_text, pa.string()), pa.array(marks, pa.list_(_MARK))],
-                ["row_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base", "marks"],
+                [numbers, batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(base_text, pa.string()), pa.array(marks, pa.list_(_MARK))],
+                ["row_id", "key", "print", "n_email", "n_ip", "n_card", "n_phone", "base", "marks"],
             )
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, _SCANNED.format(kind))
-    return written(rows, "marks")
+    return written(rows.mapInArrow(run, _SCANNED.format(rows.schema["key"].dataType.simpleString())), "marks", lasting=True)
 
 
 def occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -177,7 +189,11 @@ def bootstrap(scanned: DataFrame, texts: DataFrame, min_confidence: float = MIN_
         .agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.count_if("first").alias("firsts")),
         "pattern-edges",
     )
-    able = written(edges.groupBy("pattern", "kind").agg(F.count_if("seed").alias("seeds")).filter(F.col("seeds") >= min_seeds), "able-patterns")
+    often = edges.groupBy("pattern", "kind").agg(F.count_if("seed").alias("seeds")).filter(F.col("seeds") >= min_seeds)
+    # and in as many texts, each counted once for a pattern before any are summed
+    seen = scanned.select("print", F.explode("marks").alias("m")).filter("m.seed").select("print", "m.kind", F.explode("m.before").alias("pattern"))
+    spread = seen.distinct().groupBy("pattern", "kind").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_seeds)
+    able = written(often.join(spread.select("pattern", "kind"), ["pattern", "kind"]), "able-patterns")
     wanted = written(able.select("pattern").distinct(), "wanted-patterns")
     met = edges.groupBy("pattern").agg(F.sum("firsts").alias("met"))
     places = occurrences(texts, wanted).join(met, "pattern", "left")
@@ -213,8 +229,10 @@ def discover(scanned: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, counts of the base kinds, base (spans in words) and spans (base and found ones)."""
-    scanned = scan(docs, key, text)
-    found = discover(scanned, bootstrap(scanned, docs.select(text)))
+    rows = plain_rows(docs, key, text)
+    with steps(docs.sparkSession):
+        scanned = scan(rows)
+        found = written(discover(scanned, bootstrap(scanned, rows.select("text"))), "found", lasting=True)
     kinds = F.array(*[F.lit(k) for k in KINDS])
     word = lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["stop"])
     own = F.transform(F.filter("marks", lambda m: m["seed"]), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["stop"].alias("stop")))
@@ -242,13 +260,16 @@ def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str |
 
     Found spans come back to their rows by key and a hash of the text; rows equal in both have equal spans.
     """
-    print_ = F.xxhash64(docs[text])
-    ids = docs.select(docs[key].alias("key"), docs[text].alias("text"), print_.alias("print"))
-    scanned = scan(ids.select(F.struct("key", "print").alias("both"), "text"), "both", "text")
-    found = discover(scanned, bootstrap(scanned, ids.select("text")))
-    by_row = written(scanned.join(found, "row_id").groupBy("key").agg(F.first("found").alias("found")).select(F.col("key.key").alias("f_key"), F.col("key.print").alias("f_print"), "found"), "found")
-    joined = docs.withColumn("_print", print_).join(by_row, docs[key].eqNullSafe(by_row.f_key) & (F.col("_print") == by_row.f_print), "left").drop("f_key", "f_print", "_print")
-    names, at = docs.columns, docs.columns.index(text)
+    plain, names = unnamed(docs)
+    at, key_, text_ = place(names, text), f"_{place(names, key)}", f"_{place(names, text)}"
+    length_at = place(names, length) if length and length.lower() in [n.lower() for n in names] else -1
+    rows = plain_rows(docs, key, text)
+    with steps(docs.sparkSession):
+        scanned = scan(rows)
+        found = discover(scanned, bootstrap(scanned, rows.select("text")))
+        by_row = written(scanned.join(found, "row_id").groupBy("key", "print").agg(F.first("found").alias("found")).withColumnsRenamed({"key": "f_key", "print": "f_print"}), "found", lasting=True)
+    same = plain[key_].eqNullSafe(by_row.f_key) & (F.xxhash64(plain[text_]) == by_row.f_print)
+    joined = plain.join(bounded(by_row), same, "left").select(*plain.columns, "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,11 +280,11 @@ def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str |
                 spans += [(f["start"], f["kind"], f["stop"]) for f in more.as_py() or ()]
                 fresh.append(redact(t, spans) if spans else t)
             columns = [pa.array(fresh, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
-            if length in names:
-                columns[names.index(length)] = pa.array([None if t is None else len(t) for t in fresh], batch.column(names.index(length)).type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            if length_at >= 0:
+                columns[length_at] = pa.array([None if t is None else len(t) for t in fresh], batch.column(length_at).type)
+            yield pa.RecordBatch.from_arrays(columns, plain.columns)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

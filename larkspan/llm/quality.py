@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import table
+from larkspan.llm._common import place, table, unnamed
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -124,8 +124,9 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def accepted(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
     """The rows and columns of the table that the policy keeps, in one pass: whole rows are the ledger's keys."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("text"))
-    return judge(ledger(rows, "row", "text"), policy).filter("kept").select("row.*")
+    plain, names = unnamed(docs)
+    rows = plain.select(F.struct(*plain.columns).alias("row"), plain[f"_{place(names, text)}"].alias("text"))
+    return judge(ledger(rows, "row", "text"), policy).filter("kept").select("row.*").toDF(*names)
 
 
 def judge(entries: DataFrame, policy: Policy) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from larkspan.llm._common import table, written
 
-CELL_BITS = 16
+CELL_BITS, RUN = 16, 4096
 CELLS = 1 << CELL_BITS
 PLAN_SCHEMA = "cell int, first long, until long, shard int, slot_base long"
 
@@ -98,7 +98,13 @@ def ring_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "
     dealt = spark.createDataFrame(parts, PLAN_SCHEMA) if parts else spark.createDataFrame([], PLAN_SCHEMA)
     before = Window.partitionBy("cell").orderBy("ring", "key", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("place", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    single = placed.select("key", "size", "crc", "cell", F.explode(F.sequence("place", F.col("place") + F.col("n") - 1)).alias("place"))
+    # very many equal rows are first cut into runs, which go to many tasks
+    run = lambda first, until, step: F.explode(F.sequence(first, until - 1, F.lit(step).cast("long")))
+    some, many = placed.filter(F.col("n") <= RUN), placed.filter(F.col("n") > RUN)
+    many = many.withColumn("from", run(F.col("place"), F.col("place") + F.col("n"), RUN)).withColumn("until", F.least(F.col("from") + RUN, F.col("place") + F.col("n")))
+    many = many.select("key", "size", "crc", "cell", F.col("from").alias("place"), (F.col("until") - F.col("from")).alias("n")).repartition("cell", "place")
+    runs = some.select("key", "size", "crc", "cell", "place", "n").unionByName(many)
+    single = runs.select("key", "size", "crc", "cell", run(F.col("place"), F.col("place") + F.col("n"), 1).alias("place"))
     # the plan has CELLS + shards * each rows at most, about 3 MB
     found = single.join(F.broadcast(dealt), (single.cell == dealt.cell) & (single.place >= dealt["first"]) & (single.place < dealt.until))
     return found.select(F.col("key").alias(key), "size", "crc", "shard", (F.col("slot_base") + F.col("place") - F.col("first")).alias("slot"))

@@ -1,13 +1,15 @@
 """Exact token counts at every prefix, by dynamic programming over a byte-pair vocabulary.
 
 ``PrefixCounter`` runs over a word's bytes once: for each prefix it keeps the last token of its exact
-encoding and the number of tokens, so a truncation or a budget question is a look-up, not a new
-encoding.  Words are independent of each other, so a document's prefixes are sums over its words.
-The tokens that end at each position come from one automaton over the vocabulary.
+encoding and the number of tokens, as the beginning of a longer word and as a word of its own.  Words are
+independent of each other, so a document's prefixes are sums over its words.  ``prefix_table`` stores them: for every
+place where a run of letters ends before white space, the bytes and the tokens up to there.  Truncations and budgets
+are look-ups in these two arrays (``within``), not new encodings; a place inside a run is counted by ``PrefixCounter.upto``.
+The tokens that end at each position come from automata over the vocabulary.
 
 Defined results: a null or empty text has 0 tokens; a text of white space only has 0; special strings
 (such as the vocabulary's end-of-text) count as one token each; repeated rows each give a row; other
-columns are not touched.  Very long words cost time in proportion to their length, as a token's length is bounded.
+columns are not touched, whatever their names.  Very long words cost time in proportion to their length, as a token's length is bounded.
 """
 
 from __future__ import annotations
@@ -19,15 +21,24 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspan.llm._common import table
+from larkspan.llm._common import place, table, unnamed
 from larkspan.llm.bpe import PairRule
 
 END = "</w>"
-_PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: fixed values: the split pattern of such vocabularies and the steps before it in their files
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+_PRETOKENS = regex.compile(PATTERN)
 
 
 def byte_symbols() -> list[str]:
@@ -49,6 +60,9 @@ class PrefixCounter:
     def __init__(self, path: str, cache_entries: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        steps = [(spec[k] or {}).get(f"{k.split('_')[0]}{end}") for k, end in (("normalizer", "s"), ("pre_tokenizer", "tokenizers"))]
+        if steps != [NORMALIZERS, PRE_TOKENIZERS] or spec["model"]["end_of_word_suffix"] != END or spec["model"]["continuing_subword_prefix"]:
+            raise ValueError(f"{path} is not a vocabulary of lower-case words with ends")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         ranks = {m: i for i, m in enumerate(merges)}
         parts = {}
@@ -63,6 +77,12 @@ class PrefixCounter:
         for n, v in enumerate(self.tokens):
             self.automaton.add_word(v[: -len(END)] + "\n" if v.endswith(END) else v, (n, len(v) - (len(END) - 1) * v.endswith(END)))
         self.automaton.make_automaton()
+        # the same tokens without their end, to close any prefix
+        self.closing = ahocorasick.Automaton()
+        for n, v in enumerate(self.tokens):
+            if v.endswith(END) and len(v) > len(END):
+                self.closing.add_word(v[: -len(END)], (n, len(v) - len(END)))
+        self.closing.make_automaton()
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))))
         self.special_bytes = [s.encode() for s in self.specials]
@@ -106,8 +126,11 @@ class PrefixCounter:
             lasts[to] = t
             counts[to] = counts[j] + 1
         if ends:
-            for i in range(1, n):
-                closed[i] = self._states(s[:i], False)[2][i]
+            # of the closing tokens at each place the one that fits the prefix before it
+            for end, (t, size) in self.closing.iter(s):
+                a = lasts[end + 1 - size]
+                if not closed[end + 1] and a >= 0 and (a == first or fits(a, t)):
+                    closed[end + 1] = counts[end + 1 - size] + 1
         return lasts, counts, closed
 
     def prefix_counts(self, word: str) -> list[int]:
@@ -153,6 +176,15 @@ class PrefixCounter:
             out.append(n)
         return out
 
+    def upto(self, text: str, characters: int) -> int:
+        """Tokens of the text's first characters: those of the pre-tokens before, and the exact count inside the last one."""
+        got = self.pretokens(text[:characters])
+        if not got:
+            return 0
+        known = self.count_words({t for special, t in got[:-1] if not special})
+        special, last = got[-1]
+        return sum(1 if s else known[t] for s, t in got[:-1]) + (1 if special else self.prefix_counts(last)[-1])
+
     def fit(self, text: str | None, budget: int) -> int:
         """How many pre-tokens of the text fit into the budget."""
         import bisect
@@ -183,8 +215,11 @@ class PrefixCounter:
         words.update(self.count_words(fresh))
         self.chunks.update((c, sum(1 if special else words[t] for special, t in got)) for c, got in split)
 
-    def count_texts(self, texts: list[bytes | None]) -> list[int]:
-        """Tokens of each text, given in UTF-8.  Splitting at ASCII white space first is exact: the pattern drops white space and no pre-token holds any."""
+    def prefixes(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(runs of each text, bytes up to the end of each run, tokens up to there), texts being in UTF-8.
+
+        Splitting at ASCII white space first is exact: the pattern drops white space and no pre-token holds any.
+        """
         rows = [t.split() if t else [] for t in texts]
         chunks = self.chunks
         if len(chunks) > self.cache_entries:
@@ -194,13 +229,42 @@ class PrefixCounter:
             fresh.update(row)
         self._learn(fresh.difference(chunks))
         get = chunks.__getitem__
-        out = [sum(map(get, row)) for row in rows]
+        sizes = np.array([len(r) for r in rows], np.int64)
+        each = np.fromiter((x for row in rows for x in map(get, row)), np.int32, int(sizes.sum()))
+        ends = np.concatenate([run_ends(t or b"") for t in texts] or [np.zeros(0, np.int32)])
         for c in fresh:
             if len(c) > 64:
                 del chunks[c]
-        return out
+        return sizes, ends, sums(each, sizes)
+
+    def count_texts(self, texts: list[bytes | None]) -> list[int]:
+        """Tokens of each text, given in UTF-8."""
+        sizes, _, tokens = self.prefixes(texts)
+        return last_of(tokens, sizes).tolist()
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def run_ends(text: bytes) -> np.ndarray:
+    """The places after each run of bytes that are no ASCII white space."""
+    blank = _SPACE[np.frombuffer(text, np.uint8)]
+    return np.flatnonzero(~blank & np.concatenate([blank[1:], np.ones(min(1, len(blank)), bool)])).astype(np.int32) + 1
+
+
+def sums(each: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums within rows of the given sizes."""
+    total = np.cumsum(each, dtype=np.int64)
+    before = np.concatenate([[0], total])[np.cumsum(sizes) - sizes]
+    return (total - np.repeat(before, sizes)).astype(np.int32)
+
+
+def last_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The last value of each row, 0 for rows without any."""
+    ends = np.cumsum(sizes)
+    return np.where(sizes > 0, np.concatenate([values, [0]])[np.maximum(ends - 1, 0)], 0).astype(np.int64)
+
 
 @functools.lru_cache(maxsize=1)
 def _counter(path: str) -> PrefixCounter:
@@ -208,34 +272,48 @@ def _counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", key: str = "doc_id", batch_bytes: int = 4 << 20) -> DataFrame:
-    """Per row: key, n_bytes of the text in UTF-8, its exact n_tokens, and whether they go over the limit.
+def prefix_table(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", batch_bytes: int = 4 << 20) -> DataFrame:
+    """Per row: key, n_bytes of the text in UTF-8, n_tokens, and the prefixes: prefix_bytes and prefix_tokens, ascending.
 
     One narrow pass, no shuffle; memory is bounded by the caches (cache_entries words, chunks of at most
     64 bytes) and by batch_bytes of text at a time, one text at least.
     """
+    plain, names = unnamed(docs)
+    rows = plain.select(plain[f"_{place(names, key)}"].alias("key"), plain[f"_{place(names, text)}"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            counts: list[int] = []
             at = held = 0
-            for i, t in enumerate(texts):
+            for i, t in enumerate(texts, 1):
                 held += len(t or b"")
-                if held >= batch_bytes:
-                    counts += counter.count_texts(texts[at : i + 1])
-                    at, held = i + 1, 0
-            counts += counter.count_texts(texts[at:])
-            n = pa.array([len(t or b"") for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], ["key", "n_bytes", "n_tokens", "over_limit"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    got = docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean")
+                if held >= batch_bytes or i == len(texts):
+                    sizes, ends, tokens = counter.prefixes(texts[at:i])
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (ends, tokens)]
+                    n = pa.array([len(t or b"") for t in texts[at:i]], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, i - at), n, pa.array(last_of(tokens, sizes)), *lists], ["key", "n_bytes", "n_tokens", "prefix_bytes", "prefix_tokens"])
+                    at, held = i, 0
+
+    kind = rows.schema["key"].dataType.simpleString()
+    got = rows.mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long, prefix_bytes array<int>, prefix_tokens array<int>")
     return got.withColumnRenamed("key", key)
 
 
+def within(prefixes: DataFrame, budget: int, name: str) -> DataFrame:
+    """The table with one more column: the bytes of each text's longest stored prefix that has at most ``budget`` tokens."""
+    fits = f"size(filter(prefix_tokens, x -> x <= {int(budget)}))"
+    return prefixes.withColumn(name, F.expr(f"if(n_tokens <= {int(budget)}, n_bytes, coalesce(cast(get(prefix_bytes, {fits} - 1) AS long), 0L))"))
+
+
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``prefix_table`` with over_limit, whether a text has more tokens than the limit, and bytes_at_limit, where it would be cut."""
+    return within(prefix_table(docs, tokenizer, text, key), limit, "bytes_at_limit").withColumn("over_limit", F.col("n_tokens") > limit)
+
+
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    got = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return got.select("doc_id", "n_bytes", "n_tokens", "over_limit", "bytes_at_limit", "prefix_bytes", "prefix_tokens")

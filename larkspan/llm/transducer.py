@@ -1,18 +1,22 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The compiled machine is a cascade of three parts: the normaliser (a blank before the text, blanks as the
-mark), the pieces, and byte fallback for characters that no piece has.  Composed with an input it is
-a lattice whose states are (place, last piece) and whose arcs are pieces ending at a place; an arc has the
-tropical weight one where the merge rule lets its piece follow the state's piece, and no weight (infinity)
-otherwise.  The shortest path is found place by place.  For a merge vocabulary just one path has a finite
-weight, the one that greedy merging by score gives, which the plain sum of piece scores would not find.
+The machine is a cascade compiled from the model file: the normaliser (rewriting rules by the longest match, a
+blank before the text, blanks as the mark), the pieces, and byte fallback for characters that no piece has.  Composed
+with an input it is a lattice whose states are (place, last piece) and whose arcs are pieces and bytes ending at a
+place.  Weights are of the tropical semiring: along a path they add up, of two paths the smaller stays, and
+infinity is no path.  States are relaxed place by place, so the result is the shortest path.
+
+* Unigram models: a piece weighs its negative score, a character by bytes what the library takes for an unknown one.
+* Merge models: a piece weighs 1 if the merge rule lets it follow the state's piece and infinity otherwise.  So the only
+  path of finite weight is the one that greedy merging by score gives, which plain sums of scores would not find.
+  ``BYTE_WEIGHT`` keeps bytes for places that no piece reaches.
 
 Inputs are cut where no piece reaches across: before runs of blanks and around line breaks.  A part's path
 is found once per worker and kept, up to a bound of entries and of length.
 
-Defined results: a null or empty text gives no pieces; blanks and line breaks all count; a mark in the
-text is read as a blank, as by the library; very long parts take time in proportion to their length; rows
-are independent, so repeated ones give equal rows.
+Defined results: a null or empty text gives no pieces; blanks and line breaks all count unless the model's
+normaliser drops them; a mark in the text is read as a blank, as by the library; very long parts take time in
+proportion to their length; rows are independent, so repeated ones give equal rows; names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import table
+from larkspan.llm._common import place, table, unnamed
 from larkspan.llm.bpe import PairRule, history
 
 MARK = "▁"
+#: heavier than any number of pieces in a part that memory holds
+INFINITY, BYTE_WEIGHT = float("inf"), float(1 << 32)
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _PARTS = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
 
@@ -51,6 +57,59 @@ class _Parts(dict):
         return self[piece]
 
 
+class Normaliser:
+    """The first machine: rewrites the longest match at each place, then blanks.
+
+    The rules are read from the model's map: four bytes with the size of a double array, the array, and the
+    replacements, each ended by a zero byte.  A cell of the array holds its label in the low eight bits, whether a
+    rule ends there in the next, and where its children are in the others.
+    """
+
+    def __init__(self, spec):
+        raw = spec.precompiled_charsmap
+        size = int.from_bytes(raw[:4], "little") if raw else 0
+        self.cells = np.frombuffer(raw[4 : 4 + size], "<u4").tolist()
+        self.replacements = raw[4 + size :]
+        self.prefix, self.trims = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        self.identity = not self.cells and not self.trims
+
+    def _longest(self, data: bytes, at: int) -> tuple[int, int] | None:
+        """(length, place of the replacement) of the longest rule that matches at a place."""
+        cells, found = self.cells, None
+        children = lambda cell: (cell >> 10) << ((cell & 0x200) >> 6)
+        node = children(cells[0])
+        for i in range(at, len(data)):
+            node ^= data[i]
+            if node >= len(cells) or cells[node] & 0x800000FF != data[i]:
+                break
+            cell = cells[node]
+            node ^= children(cell)
+            if cell >> 8 & 1:
+                found = i + 1 - at, cells[node] & 0x7FFFFFFF
+        return found
+
+    def rewritten(self, text: str) -> str:
+        if not self.cells:
+            return text
+        data, out, at = text.encode(), [], 0
+        while at < len(data):
+            rule = self._longest(data, at)
+            if rule:
+                n, place = rule
+                out.append(self.replacements[place : self.replacements.index(b"\0", place)])
+            else:
+                first = data[at]
+                n = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+                out.append(data[at : at + n])
+            at += n
+        return b"".join(out).decode()
+
+    def apply(self, text: str) -> str:
+        """The normalised text with blanks for marks, without the blank before it."""
+        text = self.rewritten(text.replace(MARK, " "))
+        return re.sub(" +", " ", text).strip(" ") if self.trims else text
+
+
 class Transducer:
     def __init__(self, path: str, entries: int = 250_000):
         from sentencepiece import sentencepiece_model_pb2 as model
@@ -58,11 +117,13 @@ class Transducer:
         m = model.ModelProto()
         with open(path, "rb") as f:
             m.ParseFromString(f.read())
-        n = m.normalizer_spec
-        if m.trainer_spec.model_type != m.trainer_spec.BPE or n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces or not n.add_dummy_prefix:
-            raise ValueError(f"{path}: only merge models with an identity normaliser are supported")
-        self.pieces = [p.piece for p in m.pieces]
+        n, kind = m.normalizer_spec, m.trainer_spec.model_type
         kinds = [p.type for p in m.pieces]
+        if kind not in (m.trainer_spec.BPE, m.trainer_spec.UNIGRAM) or not n.escape_whitespaces or not n.add_dummy_prefix or not {*kinds} <= {_NORMAL, _UNKNOWN, _CONTROL, _BYTE}:
+            raise ValueError(f"{path}: only merge and unigram models with a blank before the text and without pieces of users are supported")
+        self.normaliser = Normaliser(n)
+        self.merges = kind == m.trainer_spec.BPE
+        self.pieces = [p.piece for p in m.pieces]
         rank = {p.piece: -p.score for p in m.pieces if p.type == _NORMAL}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == _BYTE}
         if len(self.byte) < 256 or any("\n" in p or MARK in p.lstrip(MARK) for p in rank):
@@ -70,14 +131,18 @@ class Transducer:
         join = lambda a, b: rank.get(a + b)
         parts = _Parts(join)
         rule = PairRule(parts, join)
-        self.fits = lambda a, b: rule.decide(self.pieces[a], self.pieces[b])
+        self.fits = (lambda a, b: rule.decide(self.pieces[a], self.pieces[b])) if self.merges else (lambda a, b: True)
         self.known: dict[int, bool] = {}
+        self.weight = [1.0 if self.merges else -p.score for p in m.pieces]
+        # an unknown character scores ten less than the worst piece
+        self.byte_weight = BYTE_WEIGHT if self.merges else max(rank.values(), default=0.0) + 10
         self.automaton = ahocorasick.Automaton()
         for i, p in enumerate(self.pieces):
             # pieces that merging can't build from their characters are never on a path
-            if kinds[i] == _NORMAL and (len(p) == 1 or parts.get(p)):
+            if kinds[i] == _NORMAL and (not self.merges or len(p) == 1 or parts.get(p)):
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
+        self.single = {p: i for i, p in enumerate(self.pieces) if kinds[i] == _NORMAL and len(p) == 1}
         self.paths: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.entries = entries
@@ -90,25 +155,26 @@ class Transducer:
         self.flat = np.frombuffer(b"".join(self.out), np.uint8)
 
     def arcs(self, part: str) -> Iterator[tuple[int, int, int]]:
-        """(from, to, piece) of the lattice by the place of their end."""
+        """(from, to, piece) of the lattice by the place of their end: the pieces composed with a part."""
         for end, (piece, size) in self.automaton.iter(part):
             yield end + 1 - size, end + 1, piece
 
     def path(self, part: str) -> list[int]:
         """Ids along the shortest path of a part, blanks already being marks."""
-        n, known, fits = len(part), self.known, self.fits
+        n, known, fits, weight = len(part), self.known, self.fits, self.weight
         if len(known) > 4 * self.entries:
             known.clear()
-        # last piece at each place: -2 none yet, -1 a byte run, which any piece may follow
-        last, came = [-1] + [-2] * n, [0] * (n + 1)
+        # of each place the least weight, the last piece (-1 for a byte run, which any piece may follow) and where it came from
+        least, last, came = [0.0] + [INFINITY] * n, [-1] * (n + 1), [0] * (n + 1)
         done = 0
         for j, to, piece in self.arcs(part):
             if done < to - 1:
-                self._bytes(last, came, done, to - 1)
+                self._bytes(part, least, last, came, done, to - 1)
                 done = to - 1
-            a = last[j]
-            if last[to] != -2 or a == -2:
+            total = least[j] + weight[piece]
+            if total >= least[to]:
                 continue
+            a = last[j]
             if a >= 0:
                 key = a << 20 | piece
                 ok = known.get(key)
@@ -116,8 +182,8 @@ class Transducer:
                     ok = known[key] = fits(a, piece)
                 if not ok:
                     continue
-            last[to], came[to] = piece, j
-        self._bytes(last, came, done, n)
+            least[to], last[to], came[to] = total, piece, j
+        self._bytes(part, least, last, came, done, n)
         out: list[int] = []
         at = n
         while at:
@@ -128,12 +194,13 @@ class Transducer:
             at = came[at]
         return out[::-1]
 
-    @staticmethod
-    def _bytes(last: list[int], came: list[int], start: int, stop: int) -> None:
-        """Places that no piece ends at are reached by the bytes of one character."""
+    def _bytes(self, part: str, least: list[float], last: list[int], came: list[int], start: int, stop: int) -> None:
+        """The arcs of characters that are no piece by themselves: their bytes."""
         for i in range(start + 1, stop + 1):
-            if last[i] == -2 and last[i - 1] != -2:
-                last[i], came[i] = -1, i - 1
+            if part[i - 1] not in self.single:
+                total = least[i - 1] + self.byte_weight
+                if total < least[i]:
+                    least[i], last[i], came[i] = total, -1, i - 1
 
     def parts(self, text: str) -> list[str]:
         """Parts of a text: those with one blank before them without it, those after a line break with it, others whole."""
@@ -152,9 +219,10 @@ class Transducer:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as 32-bit integers."""
+        text = text and (text.replace(MARK, " ") if self.normaliser.identity else self.normaliser.apply(text))
         if not text:
             return b""
-        rows, paths, older = self.parts(text.replace(MARK, " ")), self.paths, self.older
+        rows, paths, older = self.parts(text), self.paths, self.older
         long = []
         for p in set(rows).difference(paths):
             found = older.get(p)
@@ -203,8 +271,10 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, part.column(2)], ["key", "ids", "text_crc32"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.crc32(F.coalesce(docs[text], F.lit(""))).alias("text_crc32"))
+    plain, names = unnamed(docs)
+    key_, text_ = plain[f"_{place(names, key)}"], plain[f"_{place(names, text)}"]
+    rows = plain.select(key_.alias("key"), text_.alias("text"), F.crc32(F.coalesce(text_, F.lit(""))).alias("text_crc32"))
+    kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, ids array<int>, text_crc32 long").withColumnRenamed("key", key)
 
 

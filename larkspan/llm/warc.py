@@ -3,9 +3,11 @@
 ``write_archives`` writes each row as a gzip member of a WARC 1.1 file in a shared folder, a file being cut
 at ``RUN_RECORDS`` records, and returns the list of files.  Of records with equal payloads of at least
 ``SMALL`` bytes the one with the largest id is a response and the others are revisits that refer to it.
-``read_runs`` reads the files back, each file giving one run sorted by URL key and capture time, held as
-a table of index lines.  ``merge_runs`` range-partitions the lines and merges each range's run slices with
-a loser tree, so the ranges in order are the capture histories of all URLs.
+``read_runs`` reads the files back and writes for each one run file of its index lines, sorted by URL key and
+capture time, in blocks of ``BLOCK`` lines.  ``merge_runs`` merges runs externally: passes of about ``FAN`` runs at a time with a
+loser tree, each streaming a block per run, until so few are left; the last pass cuts the whole order into
+ranges, finds where each range begins in every run by bisection over blocks, and merges the ranges at once.
+So the ranges in order are the capture histories of all URLs, and a task holds ``FAN`` blocks.
 
 Defined results: a null payload is empty, a null URL has the key ""; a null id counts as smaller than any
 other and refers to nothing; rows equal in id and payload are all responses if their id is the largest;
@@ -20,6 +22,7 @@ import hashlib
 import io
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from larkspan.llm._common import scratch, table, written
 
 SMALL = 1000
-RUN_RECORDS = 20_000
+RUN_RECORDS, BLOCK, FAN, RANGE_LINES = 20_000, 1024, 64, 500_000
 EPOCH = datetime.datetime(2020, 1, 1, tzinfo=datetime.UTC)
 LINE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string, run string, offset long"
 
@@ -182,31 +185,92 @@ def order(line: tuple) -> tuple:
     return line[5], line[6], line[7], line[8]
 
 
+def write_run(fs: pyarrow.fs.FileSystem, path: str, lines: Iterable[tuple], block: int) -> list[tuple]:
+    """Writes sorted lines as a run file of blocks; gives (lines, first key) of each block."""
+    made, held = [], []
+    with fs.open_output_stream(path, compression=None) as sink, pa.ipc.new_file(sink, _batch([]).schema) as out:
+        for x in chain(lines, [None]):
+            if held and (x is None or len(held) == block):
+                out.write_batch(_batch(held))
+                made.append((len(held), *order(held[0])))
+                held = []
+            held.append(x)
+    return made
+
+
+def run_slice(fs: pyarrow.fs.FileSystem, path: str, low: tuple | None = None, high: tuple | None = None) -> Iterator[tuple]:
+    """The lines of a run from low on, below high, a block at a time."""
+    with fs.open_input_file(path) as file:
+        blocks = pa.ipc.open_file(file)
+        lines = lambda i: list(zip(*(c.to_pylist() for c in blocks.get_batch(i).columns), strict=True))
+        at, end = 0, blocks.num_record_batches
+        if low is not None:
+            # the last block that begins at or below low, or the first of all
+            while end - at > 1:
+                mid = (at + end) // 2
+                if order(lines(mid)[0]) <= low:
+                    at = mid
+                else:
+                    end = mid
+        for i in range(at, blocks.num_record_batches):
+            for x in lines(i):
+                key = order(x)
+                if high is not None and key >= high:
+                    return
+                if low is None or key >= low:
+                    yield x
+
+
+_RUNS = "file string, lines long, url_key string, captured string, run string, offset long"
+
+
+def _blocks(file: str, made: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*made, strict=True)) if made else [()] * 5
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([file] * len(made), pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split(" ")[0] for x in _RUNS.split(", ")])
+
+
+def _run_name(number: int) -> str:
+    """A run file's name by task attempt, so that a lost executor leaves unlisted files at most."""
+    task = TaskContext.get()
+    return f"run-{task.stageId()}-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.arrow"
+
+
 def read_runs(archives: DataFrame, folder: str) -> DataFrame:
-    """The index lines of the files, a sorted run for each."""
+    """A row per block of the run files, one run for each archive: file, lines and first key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
+        n = 0
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                    lines = [_line(*parse(raw), name, offset) for offset, raw in members(stream)]
-                yield _batch(sorted(lines, key=order))
+                    lines = [_line(*parse(raw), name, offset) for offset, raw in members(stream)]  # RUN_RECORDS at most
+                file, n = _run_name(n), n + 1
+                yield _blocks(file, write_run(fs, f"{root}/{file}", sorted(lines, key=order), BLOCK))
 
     files = archives.select("archive")
-    return files.repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism * 4), "archive").mapInArrow(run, LINE)
+    return written(files.repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism * 4), "archive").mapInArrow(run, _RUNS), "runs")
 
 
 class LoserTree:
-    """Merges k sorted lists: inner nodes keep the loser of their match, so a line costs log k comparisons on one path."""
-
-    def __init__(self, runs: list[list], key):
-        self.runs, self.key, self.k = runs, key, max(1, len(runs))
-        self.at = [0] * len(runs)
-        self.heads = [key(r[0]) if r else None for r in runs] or [None]
+    """Merges k sorted runs: inner nodes keep the loser of their match, so a line costs log k comparisons on one path."""
+
+    def __init__(self, runs: list[Iterable], key):
+        self.runs, self.key, self.k = [iter(r) for r in runs], key, max(1, len(runs))
+        self.lines = [None] * self.k
+        self.heads = [None] * self.k
+        for i in range(len(runs)):
+            self._next(i)
         self.tree = [-1] * self.k
         self.winner = self._build(1) if self.k > 1 else 0
 
+    def _next(self, i: int) -> None:
+        for x in self.runs[i]:
+            self.lines[i], self.heads[i] = x, self.key(x)
+            return
+        self.lines[i] = self.heads[i] = None
+
     def _beats(self, a: int, b: int) -> bool:
         x, y = self.heads[a], self.heads[b]
         return y is None or (x is not None and x <= y)
@@ -222,9 +286,8 @@ class LoserTree:
     def __iter__(self):
         while self.heads[self.winner] is not None:
             w = self.winner
-            yield self.runs[w][self.at[w]]
-            self.at[w] += 1
-            self.heads[w] = self.key(self.runs[w][self.at[w]]) if self.at[w] < len(self.runs[w]) else None
+            yield self.lines[w]
+            self._next(w)
             node = (w + self.k) // 2
             while node:
                 if not self._beats(w, self.tree[node]):
@@ -233,47 +296,60 @@ class LoserTree:
             self.winner = w
 
 
-def merge_lines(lines: Iterable[tuple]) -> Iterator[tuple]:
-    """The lines of one range, merged from its run slices."""
-    runs: dict[str, list[tuple]] = {}
-    for x in lines:
-        runs.setdefault(x[7], []).append(x)
-    for slice_ in runs.values():
-        slice_.sort(key=order)  # as fetched blocks of a run may come in any order; linear on what is in order
-    return iter(LoserTree(list(runs.values()), order))
+def merge_pass(runs: DataFrame, folder: str, groups: int) -> DataFrame:
+    """Fewer and longer runs: each group of files merged into one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _open(folder)
+        n = 0
+        for batch in batches:
+            for files in batch.column(0).to_pylist():
+                file, n = _run_name(n), n + 1
+                yield _blocks(file, write_run(fs, f"{root}/{file}", LoserTree([run_slice(fs, f"{root}/{f}") for f in files], order), BLOCK))
+
+    files = runs.select("file").distinct().groupBy(F.pmod(F.xxhash64("file"), F.lit(groups)).alias("g")).agg(F.collect_list("file").alias("files"))
+    return written(files.select("files").mapInArrow(run, _RUNS), "runs")
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
     """All index lines in global order by URL key and time, with part and place: the range and the position in it.
 
     Ranges are cut by the whole order, so one URL or host with many captures spreads over ranges.
     """
+    spark = runs.sparkSession
+    while (many := runs.select("file").distinct().count()) > FAN:
+        runs = merge_pass(runs, folder, -(-many // (FAN * 3 // 4)))
+    keys = ["url_key", "captured", "run", "offset"]
+    size = runs.agg(F.count("*").alias("blocks"), F.sum("lines").alias("lines")).first()
+    parts = max(1, min(size["blocks"], max(2 * spark.sparkContext.defaultParallelism, (size["lines"] or 0) // RANGE_LINES)))
+    least = runs.repartitionByRange(parts, *keys).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*keys)).alias("low"))
+    # FAN names and a key for each RANGE_LINES lines, and for each core
+    files = [r["file"] for r in runs.select("file").distinct().collect()]
+    lows = sorted(tuple(r["low"]) for r in least.collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        lines = (tuple(v.as_py() for v in row) for batch in batches for row in zip(*batch.columns, strict=True))
-        held: list[tuple] = []
-        place = 0
+        fs, root = _open(folder)
 
-        def out() -> pa.RecordBatch:
+        def out(part: int, held: list[tuple], place: int) -> pa.RecordBatch:
             b = _batch(held)
             return pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(held), pa.int32()), pa.array(range(place - len(held), place), pa.int64())], [*b.schema.names, "part", "place"])
 
-        for x in merge_lines(lines):
-            held.append(x)
-            place += 1
-            if len(held) == 10_000:
-                yield out()
-                held.clear()
-        if held:
-            yield out()
+        for part in (p for batch in batches for p in batch.column(0).to_pylist()):
+            high = lows[part + 1] if part + 1 < len(lows) else None
+            held, place = [], 0
+            for x in LoserTree([run_slice(fs, f"{root}/{f}", lows[part], high) for f in files], order):
+                held.append(x)
+                place += 1
+                if len(held) == 10_000:
+                    yield out(part, held, place)
+                    held = []
+            yield out(part, held, place)
 
-    runs = written(runs, "runs")
-    ranged = runs.repartitionByRange("url_key", "captured", "run", "offset")
-    return ranged.mapInArrow(run, f"{LINE}, part int, place long")
+    return spark.range(0, len(lows), numPartitions=max(1, len(lows))).mapInArrow(run, f"{LINE}, part int, place long")
 
 
 def op9_archive_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     archives = write_archives(table(spark, sf_dir, "pages"), folder)
-    return merge_runs(read_runs(archives, folder))
+    histories = merge_runs(read_runs(archives, folder), folder)
+    return histories.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -18,13 +18,18 @@ ODD = [
     None, "", " ", "\n\n", "a", "a  b   c", "a\nb\n\nc ", "x" * 5000, "ab " * 3000, "ΑΣ ΣΑΣ İstanbul é ẛ̣", "日本語 テキスト。", "😀 👩‍👩‍👧!",
     "<|endoftext|> a <|startoftext|>", "<s> <unk> <0x41>", "it's I'LL 1234 ½", "\x00\x1c\x85 z", "tab\tx　y", "a.b@c.de, a.b@c.de", "same line\nsame line\n \nsame line",
 ]
+#: names that operators and stages use themselves
+CLASHING = "gone n_dropped n_lines g_doc _print f_key f_print found node uid row_id bucket start length ids whole rank part ids_crc32 n_tokens size crc shard slot comp d1 line _0 _1".split()
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     """Texts of all kinds, some twice, null keys, and columns with names that the operators use themselves."""
     rows = [(i, t, "en", "src", 0, 1, "x") for i, t in enumerate(ODD)] + [(None, "no key here", None, None, None, None, None), (3, ODD[3], "en", "src", 0, 1, "x")]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key long, print string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key long, print string")
+    for i, name in enumerate(CLASHING):
+        df = df.withColumn(name, F.lit(i))
+    return df
 
 
 @pytest.fixture(scope="module")
@@ -126,6 +131,49 @@ def test_bootstrap_with_many_unseen(spark, unseen):
     assert all(got[100 + i] == "phone:14:26" for i in range(unseen)) and not any(got[300 + i] for i in range(6))
 
 
+def test_bootstrap_precision_and_recall(spark):
+    """Planted identifiers that no base expression takes, behind patterns that base ones show, and look-alikes behind other words."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    filler = lambda: " ".join(rng.choices("stone river market under light where seven paper".split(), k=rng.randrange(3, 12)))
+    kinds = {
+        "phone": ("reach us under", lambda: f"+49 30 {rng.randrange(10**6, 10**7)}", lambda: f"030 {rng.randrange(10**6, 10**7)}"),
+        "email": ("write mail to", lambda: f"u{rng.randrange(10**6)}@ex.org", lambda: f"u{rng.randrange(10**6)} [at] ex [dot] org"),
+        "ip": ("server address", lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.7", lambda: f"fe80:0:0:{rng.randrange(1000)}:1:2:3:{rng.randrange(1000)}"),
+    }
+    for kind, (words, seed, unseen) in kinds.items():
+        for i in range(60):
+            before = f"{filler()} {words} "
+            value = unseen() if i % 3 == 0 else seed()
+            rows.append((len(rows), f"{before}{value} {filler()}"))
+            want[rows[-1][0]] = f"{kind}:{len(before)}:{len(before) + len(value)}" if i % 3 == 0 else None
+        for _ in range(20):  # the same shapes where mostly no identifier follows
+            rows.append((len(rows), f"{filler()} number {unseen()} {filler()}"))
+            want[rows[-1][0]] = ""
+    rows += [(len(rows) + i, f"{filler()} number {filler()}") for i in range(100)]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    planted = [i for i, w in want.items() if w]
+    found = sum(got[i] == want[i] for i in planted)
+    wrong = sum(got[i] != "" for i, w in want.items() if w == "")
+    assert found >= 0.95 * len(planted) and wrong == 0, (found, len(planted), wrong)
+
+
+def test_support_is_by_texts(spark):
+    """One text with many numbers, or copies of it, make no pattern."""
+    many = " ".join(f"hot line +1 555 555 {1000 + i}" for i in range(20))
+    rows = [(i, many) for i in range(8)] + [(100, "hot line 030 555 1234")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == ""
+
+
+def test_loose_spans_are_linear():
+    import time
+
+    text = " ".join(f"no 030 {1000000 + i}" for i in range(40_000))
+    at = time.perf_counter()
+    assert len(pii.loose_spans(text, pii.base_spans(text))) == 40_000 and time.perf_counter() - at < 10
+
+
 def test_pii_query(spark, sf, docs):
     got = {r.doc_id: r for r in registry.QUERIES["op4_contextual_pii"](spark, sf).collect()}
     for i, t in zip(docs.doc_id, docs.text, strict=True):
@@ -156,10 +204,24 @@ def test_token_counts(spark, sf, docs, odd, word_bpe):
     assert Counter((r.doc_id, r.n_tokens) for r in few) == want
 
 
+def test_prefix_table(spark, odd, word_bpe):
+    """Every stored prefix has the library's count, and budgets are looked up in the table."""
+    _, library = word_bpe
+    stored = token_counts.prefix_table(odd, tokenizers_files.path("word_bpe_49k.json"))
+    texts = {i: (t or "").encode() for i, t in enumerate(ODD)}
+    for r in token_counts.within(stored, 3, "cut").filter("doc_id IS NOT NULL").collect():
+        count = lambda n, t=texts[r.doc_id]: len(library.encode(t[:n].decode(), add_special_tokens=False).ids)
+        assert [count(n) for n in r.prefix_bytes[:20]] == r.prefix_tokens[:20]
+        assert r.n_tokens == (r.prefix_tokens or [0])[-1] and r.n_bytes == len(texts[r.doc_id])
+        assert r.cut == (r.n_bytes if r.n_tokens <= 3 else max([n for n, k in zip(r.prefix_bytes, r.prefix_tokens, strict=True) if k <= 3], default=0))
+
+
 def test_prefixes(word_bpe):
     counter, library = word_bpe
     for word in ("thesatoring", "zzzzzz", "interreaction"):
         assert counter.prefix_counts(word)[1:] == [len(library.encode(word[:i]).ids) for i in range(1, len(word) + 1)]
+    for i in range(9):
+        assert counter.upto("It's Stra\u00dfe 12", i) == len(library.encode("It's Stra\u00dfe 12"[:i], add_special_tokens=False).ids)
     text = "The quick, brown <|endoftext|> fox's 12 jumps"
     upto = counter.cumulative(text)
     assert upto[-1] == len(library.encode(text, add_special_tokens=False).ids) and upto == sorted(upto)
@@ -186,6 +248,45 @@ def test_transducer(spark, sf, docs, odd):
     assert Counter(r.text for r in few) == Counter((t or "") for t in [*ODD, "no key here", ODD[3]])
 
 
+def variants(path):
+    """Models made from the given one: unigram with scores of their own, and with the library's own normaliser map."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as model
+
+    given = model.ModelProto()
+    with open(path, "rb") as f:
+        given.ParseFromString(f.read())
+    rng = random.Random(6)
+    unigram = model.ModelProto()
+    unigram.CopyFrom(given)
+    unigram.trainer_spec.model_type = model.TrainerSpec.UNIGRAM
+    for p in unigram.pieces:
+        if p.type == 1:
+            p.score = -rng.randrange(1, 4000) / 256
+    rules = model.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    mapped = model.ModelProto()
+    mapped.CopyFrom(given)
+    mapped.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    mapped.normalizer_spec.remove_extra_whitespaces = True
+    return {"unigram": unigram, "mapped": mapped}
+
+
+@pytest.mark.parametrize("kind", ["unigram", "mapped"])
+def test_transducer_variants(docs, tmp_path, kind):
+    """Weights decide between paths, and the normaliser is composed before the pieces: a parse by the first fit fails here."""
+    import sentencepiece
+
+    path = str(tmp_path / "made.model")
+    with open(path, "wb") as f:
+        f.write(variants(tokenizers_files.path("piece_bpe_32k.model"))[kind].SerializeToString())
+    library, mine = sentencepiece.SentencePieceProcessor(model_file=path), transducer.Transducer(path)
+    rng = random.Random(2)
+    made = ["".join(rng.choices("ab e\u2581\n\t\u00e9\u65e5\U0001f600<>0thin\uff21\ufb01\u2460\u3000\u0301\uff76\uff9e\u200b\x01", k=rng.randrange(40))) for _ in range(2000)]
+    for t in [*docs.text[:50], *[x or "" for x in ODD], *made]:
+        assert np.frombuffer(mine.encode(t), np.int32).tolist() == library.encode(t), t[:80]
+
+
 # -- 2 ---------------------------------------------------------------------------------------------
 
 
@@ -229,6 +330,32 @@ def test_packing(spark, sf, docs, odd):
     assert packing.pack(odd.limit(0), path).count() == 0
 
 
+def test_blank_runs():
+    """Runs of blanks that the pattern's look-ahead can't go back over have the library's ids."""
+    from tokenizers import Tokenizer
+
+    path = tokenizers_files.path("byte_bpe_50k.json")
+    library, ids = Tokenizer.from_file(path), packing.Ids(path)
+    for t in (" " * 1_200_000 + "a", "x" + "\n" * 1_200_000, " \n" * 20000 + " b c" + "\t" * 30000 + "é" + " " * 10000 + "'s", "\x1c" * 20000 + "a", "\u3000" * 12000 + "z", "x" + " " * 9999 + "y"):
+        assert np.frombuffer(ids.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_cut_pieces(spark):
+    """Pieces are cut to fill windows; every window but the last is full, with or without ids."""
+    path = tokenizers_files.path("byte_bpe_50k.json")
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["ab", "cde", "the"], k=600 + i % 3))) for i in range(40)] + [(7, "ab")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, with_ids = packing.pack(df, path).collect(), packing.pack(df, path, with_ids=True).collect()
+    keyed = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.sequence_id, r.offset)
+    assert Counter(map(keyed, plain)) == Counter(map(keyed, with_ids)) and len(plain) > len(rows)
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in with_ids)
+    full = Counter()
+    for r in plain:
+        full[r.sequence_id] += r.length
+    assert sum(n < 1024 for n in full.values()) <= 1 and max(full.values()) <= 1024
+
+
 def test_slack_is_minimal():
     rng = random.Random(3)
     for _ in range(50):
@@ -241,4 +368,4 @@ def test_slack_is_minimal():
         assert best == max(sums)
         used = packing.chosen(steps, best)
         assert sum(n * k for n, k in used.items()) == best and all(k <= counts[n] for n, k in used.items())
-    assert packing.plan({}) == [] and packing.plan({1024: 5}) == [(5, {1024: 1})]
+    assert packing.plan({}) == [] and packing.plan({1024: 5}) == [(5, {1024: 1}, None)]
