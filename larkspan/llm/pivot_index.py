@@ -42,10 +42,11 @@ def fit_pivots(sample: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
     """Far apart rows of the sample, moved to the mean of what is nearest to them a few times."""
     if not len(sample):
         return np.zeros((1, 1))
-    at, far = [0], ((sample - sample[0]) ** 2).sum(1)
-    while len(at) < min(pivots, len(sample)) and far.max() > 0:
-        at.append(int(far.argmax()))
-        far = np.minimum(far, ((sample - sample[at[-1]]) ** 2).sum(1))
+    with np.errstate(over="ignore"):
+        at, far = [0], ((sample - sample[0]) ** 2).sum(1)
+        while len(at) < min(pivots, len(sample)) and far.max() > 0:
+            at.append(int(far.argmax()))
+            far = np.minimum(far, ((sample - sample[at[-1]]) ** 2).sum(1))
     centres = sample[at]
     for _ in range(4):
         near = distances(sample, centres).argmin(1)
@@ -177,7 +178,8 @@ def search(vectors: DataFrame, query_condition: str, k: int = 5, key: str = "vec
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()["v"].tolist()
     # pivots have the length that most of the sample has, so that one long vector costs nothing
     lengths = np.bincount([len(x) for x in sample]) if sample else np.array([0])
-    centres = fit_pivots(np.array([x for x in sample if len(x) == lengths.argmax()]).reshape(-1, int(lengths.argmax())))
+    usual = [x for x in sample if len(x) == lengths.argmax()]
+    centres = fit_pivots(np.array(usual, float).reshape(len(usual), int(lengths.argmax())))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
