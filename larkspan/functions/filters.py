@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspan.functions.text import EDGES
 from larkspan.types import InvalidParameter
 
 Resolve = Callable[[str], Column]
@@ -123,10 +122,24 @@ def json_field(metadata: Column) -> Resolve:
     return lambda field: F.get_json_object(metadata, f"$.{field}")
 
 
+BREAKS = r"[^\p{L}\p{N}]+"
+
+
 def _field_words(value: Column) -> Column:
-    """Words of a value; a JSON array gives those of its elements."""
-    text = F.regexp_replace(F.lower(value.cast("string")), r'[\[\]",]', " ")
-    return F.filter(F.transform(F.split(text, r"[\s]+"), lambda w: F.regexp_replace(w, EDGES, "")), lambda w: w != "")
+    """The words of a value, a list for each element of a JSON array and one list for anything else; whatever is no letter or digit parts words."""
+    text = value.cast("string")
+    elements = F.when(text.startswith("["), F.coalesce(F.from_json(text, "array<string>"), F.array(text))).otherwise(F.array(text))
+    return F.transform(F.filter(elements, F.isnotnull), lambda e: F.filter(F.split(F.lower(e), BREAKS), lambda w: w != ""))
+
+
+def _phrase(words: Column, wanted: list[str]) -> Column:
+    """Whether the wanted words follow each other in one element."""
+    if not wanted:
+        return F.lit(False)
+    if len(wanted) == 1:
+        return F.exists(words, lambda e: F.array_contains(e, wanted[0]))
+    here = F.array(*[F.lit(w) for w in wanted])
+    return F.exists(words, lambda e: F.exists(F.sequence(F.lit(1), F.greatest(F.size(e), F.lit(1))), lambda i: F.slice(e, i, len(wanted)) == here))
 
 
 _SIGNS = {">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__, "<=": Column.__le__}
@@ -134,15 +147,12 @@ _SIGNS = {">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__, "<=": Col
 
 def compile_tree(tree, resolve: Resolve) -> Column:
     """One boolean column, false where a field is missing."""
-    if isinstance(tree, Term):
-        wanted = re.sub(r"^[\W_]+|[\W_]+$", "", tree.value.lower())
-        return F.coalesce(F.array_contains(_field_words(resolve(tree.field)), wanted), F.lit(False))
+    if isinstance(tree, (Term, Phrase)):
+        said = tree.value if isinstance(tree, Term) else " ".join(tree.words)
+        wanted = [w for w in re.split(r"[\W_]+", said.lower()) if w]
+        return F.coalesce(_phrase(_field_words(resolve(tree.field)), wanted), F.lit(False))
     if isinstance(tree, Range):
         return F.coalesce(_SIGNS[tree.sign](resolve(tree.field).try_cast("double"), F.lit(tree.value)), F.lit(False))
-    if isinstance(tree, Phrase):
-        words, n = _field_words(resolve(tree.field)), len(tree.words)
-        found = F.exists(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.slice(words, i, n) == F.array(*[F.lit(w) for w in tree.words]))
-        return F.coalesce(found, F.lit(False))
     if isinstance(tree, Not):
         return ~compile_tree(tree.inner, resolve)
     parts = [compile_tree(p, resolve) for p in tree.parts]
@@ -201,6 +211,11 @@ def from_operators(spec: Mapping, resolve: Resolve) -> Column:
     return out
 
 
+def map_field(metadata: Column) -> Resolve:
+    """Fields of a map column."""
+    return lambda field: metadata[field]
+
+
 def equality(wanted: Mapping[str, str], resolve: Resolve) -> Column:
     """All fields equal the given strings."""
     return from_operators({k: {"$eq": v} for k, v in wanted.items()}, resolve)

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 #: fixed values: words that the index leaves out
 STOPWORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was", "are", "were", "be", "been", "being")
-EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+#: from the first letter or digit between blanks to the last
+WORD = r"[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?"
 
 
 def words(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Lower-case words without punctuation at their ends, in order, without stopwords."""
-    trimmed = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, EDGES, ""))
-    return F.filter(trimmed, lambda w: (w != "") & ~w.isin(*stopwords))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(*stopwords))
 
 
 def tag(value: Column) -> Column:

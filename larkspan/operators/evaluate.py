@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspan.sources.folders import fresh
+
 
 def recall(found: DataFrame, truth: DataFrame, k: int, by: str = "query_id", key: str = "vec_id", of_truth: bool = False) -> DataFrame:
     """query and share of its true k that were found; over k, or over min(k, truth) with 1 for no truth."""
@@ -30,13 +32,27 @@ def recall_curve(found: DataFrame, truth: DataFrame, at: tuple[int, ...] = (1, 5
 def percentiles(df: DataFrame, value: str, tie: str) -> DataFrame:
     """p50, p95 and p99 as the values at places n/2, 0.95 n and 0.99 n (whole part) of the sorted rows, from 0.
 
-    Ranks come from counts of each value, so a global sort of rows is not needed.
+    Values are counted, the counts written in ranges of values, and a place is looked up in the range that holds
+    it: the driver sees one sum a range, and a task one range.
     """
-    counts = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    n = df.count()
-    place = {"p50": n // 2, "p95": min(int(n * 0.95), n - 1), "p99": min(int(n * 0.99), n - 1)}
-    upto = counts.select("v", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    return upto.agg(*[F.min(F.when(F.col("upto") > p, F.col("v"))).alias(name) for name, p in place.items()])
+    spark = df.sparkSession
+    path = fresh(spark, "value-counts")
+    counts = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")).repartitionByRange("v")
+    counts.withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranges = spark.read.parquet(path)
+    sums = ranges.groupBy("part").agg(F.sum("c").alias("c"), F.min("v").alias("low")).orderBy("low").collect()
+    n = sum(r["c"] for r in sums)
+    out = spark.range(1)
+    for name, place in {"p50": n // 2, "p95": min(int(n * 0.95), n - 1), "p99": min(int(n * 0.99), n - 1)}.items():
+        before, part = 0, -1
+        for r in sums:
+            if before + r["c"] > place >= 0:
+                part = r["part"]
+                break
+            before += r["c"]
+        one = ranges.filter(F.col("part") == part).select("v", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+        out = out.crossJoin(F.broadcast(one.agg(F.min(F.when(F.col("upto") > place - before, F.col("v"))).alias(name))))  # one row each
+    return out.drop("id")
 
 
 def measure(run: Callable[[], object], times: int = 10, warm_up: int = 3) -> dict[str, float]:

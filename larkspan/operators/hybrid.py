@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import vectors as V
 from larkspan.functions.filters import json_field, where
-from larkspan.operators import knn
+from larkspan.operators import hnsw, knn
 from larkspan.plans.planner import Planner, Strategy, needs_fallback
 from larkspan.types import check_k
 
@@ -39,7 +39,23 @@ def brute_force(points: DataFrame, predicate: Column, query, k: int) -> DataFram
     return scored(points.filter(predicate), query).orderBy("distance", "point_id").limit(check_k(k))
 
 
-filter_first = brute_force  # an exact scan restricts to the mask before it ranks, which is the same plan
+def by_graph(graph: DataFrame, query, k: int, ef: int, allowed: DataFrame | None = None) -> DataFrame:
+    """point_id, distance and score by a graph over unit vectors, whose squared distance is twice the cosine distance.
+
+    With allowed ids the graph is walked under that mask, or its allowed rows are scanned where they are few.
+    """
+    norm = sum(x * x for x in query) ** 0.5
+    one = graph.sparkSession.createDataFrame([(0, [x / norm if norm else 0.0 for x in query])], "query_id long, query array<double>")
+    found = hnsw.search(graph, one, check_k(k), ef, allowed=allowed)
+    distance = F.col("distance") * F.col("distance") / 2
+    return found.select(F.col("node_id").alias("point_id"), distance.alias("distance")).withColumn("score", V.distance_to_score(F.col("distance"))).orderBy("distance", "point_id")
+
+
+def filter_first(points: DataFrame, predicate: Column, query, k: int, graph: DataFrame | None = None, ef: int = 100) -> DataFrame:
+    """The matches first, then the nearest of them: under a mask in the graph, or by a scan of the matches where there is no graph."""
+    if graph is None:
+        return brute_force(points, predicate, query, k)
+    return by_graph(graph, query, k, ef, points.filter(predicate).select("point_id"))
 
 
 def vector_first(points: DataFrame, predicate: Column, query, k: int, expansion: int) -> DataFrame:
@@ -50,11 +66,17 @@ def vector_first(points: DataFrame, predicate: Column, query, k: int, expansion:
     return kept.orderBy("distance", "point_id").limit(check_k(k))
 
 
+def unit_graph(points: DataFrame, **how) -> DataFrame:
+    """The graph that ``HybridEngine`` takes: an index of the points' unit vectors."""
+    unit = points.select("point_id", V.normalize(V.vector(F.col("vector"))).alias("vector"))
+    return hnsw.build(unit, "point_id", "vector", **how)
+
+
 class HybridEngine:
-    """Points are (point_id, vector, metadata) with metadata as JSON text."""
+    """Points are (point_id, vector, metadata) with metadata as JSON text; a graph of ``unit_graph`` makes searches approximate."""
 
-    def __init__(self, points: DataFrame, planner: Planner | None = None, resolve=None):
-        self.points, self.planner = points, planner or Planner()
+    def __init__(self, points: DataFrame, planner: Planner | None = None, resolve=None, graph: DataFrame | None = None):
+        self.points, self.planner, self.graph = points, planner or Planner(), graph
         self.resolve = resolve or json_field(F.col("metadata"))
 
     def counts(self, predicate: Column) -> tuple[int, int]:
@@ -69,9 +91,13 @@ class HybridEngine:
     def ids(self, query: str) -> DataFrame:
         return self.points.filter(where(query, self.resolve)).select("point_id")
 
-    def bitmask(self, query: str, max_id: int) -> DataFrame:
-        """A boolean for each id below the bound."""
-        return self.points.filter(F.col("point_id") < max_id).select("point_id", where(query, self.resolve).alias("matches"))
+    def bitmask(self, query: str, max_id: int | None = None) -> DataFrame:
+        """A boolean for each id below the bound, the largest id and one if none is given; false for ids without a point."""
+        if max_id is None:
+            top = self.points.agg(F.max("point_id")).first()[0]
+            max_id = 0 if top is None else top + 1
+        hits = self.points.select("point_id", where(query, self.resolve).alias("matches"))
+        return self.points.sparkSession.range(max_id).withColumnRenamed("id", "point_id").join(hits, "point_id", "left").select("point_id", F.coalesce("matches", F.lit(False)).alias("matches"))
 
     def plan(self, query: HybridQuery):
         n, m = self.counts(where(query.filter, self.resolve))
@@ -80,22 +106,58 @@ class HybridEngine:
     def search(self, query: HybridQuery) -> DataFrame:
         check_k(query.k)
         if not query.filter:
+            if self.graph is not None:
+                return by_graph(self.graph, query.vector, query.k, query.ef)
             return scored(self.points, query.vector).orderBy("distance", "point_id").limit(query.k)
         predicate = where(query.filter, self.resolve)
         plan, matches = self.plan(query)
+        if plan.strategy is Strategy.FILTER_FIRST:
+            return filter_first(self.points, predicate, query.vector, query.k, self.graph, query.ef)
         if plan.strategy is not Strategy.VECTOR_FIRST:
             return brute_force(self.points, predicate, query.vector, query.k)
         found = vector_first(self.points, predicate, query.vector, query.k, plan.expansion)
-        rows = found.count()
-        if needs_fallback(rows, query.k) and matches > rows:
+        rows = found.collect()  # k rows at most, looked at once
+        if needs_fallback(len(rows), query.k) and matches > len(rows):
             return brute_force(self.points, predicate, query.vector, query.k)
-        return found
+        return self.points.sparkSession.createDataFrame(rows, found.schema)
 
     def with_metadata(self, results: DataFrame) -> DataFrame:
         """The JSON of the final rows only: the results are k rows, so they are the broadcast side."""
         return self.points.select("point_id", "metadata").join(F.broadcast(results), "point_id")
 
 
+# -- masks: (point_id, matches) tables ------------------------------------------------------------
+
+
+def mask_of(both: DataFrame, other: DataFrame, mix) -> DataFrame:
+    """Two masks put together id by id; an id that one lacks is false there."""
+    b = other.select("point_id", F.col("matches").alias("other"))
+    value = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return both.join(b, "point_id", "full").select("point_id", mix(value("matches"), value("other")).alias("matches"))
+
+
+def mask_and(a: DataFrame, b: DataFrame) -> DataFrame:
+    return mask_of(a, b, lambda x, y: x & y)
+
+
+def mask_or(a: DataFrame, b: DataFrame) -> DataFrame:
+    return mask_of(a, b, lambda x, y: x | y)
+
+
+def mask_not(a: DataFrame) -> DataFrame:
+    return a.select("point_id", (~F.col("matches")).alias("matches"))
+
+
+def mask_ids(a: DataFrame) -> DataFrame:
+    return a.filter("matches").select("point_id")
+
+
+def mask_stats(a: DataFrame) -> DataFrame:
+    """total, matches and selectivity of a mask."""
+    got = a.agg(F.count("*").alias("total"), F.count_if("matches").alias("matches"))
+    return got.withColumn("selectivity", F.when(F.col("total") > 0, F.col("matches") / F.col("total")).otherwise(0.0))
+
+
 def weighted(points: DataFrame, bm25: DataFrame, query, k: int, vector_weight: float = 0.7) -> DataFrame:
     """The k best by a mix of cosine similarity and BM25 (0 where no term occurs)."""
     s = V.cosine(V.vector(F.col("vector")), V.vector(list(query)))
@@ -104,4 +166,4 @@ def weighted(points: DataFrame, bm25: DataFrame, query, k: int, vector_weight: f
     return both.select("point_id", mix.alias("score")).orderBy(F.desc("score"), "point_id").limit(check_k(k))
 
 
-__all__ = ["HybridEngine", "HybridQuery", "brute_force", "filter_first", "knn", "scored", "vector_first", "weighted"]
+__all__ = ["HybridEngine", "HybridQuery", "brute_force", "by_graph", "filter_first", "knn", "scored", "vector_first", "weighted"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,6 +28,86 @@ def frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos"))
 
 
+def positions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """term, doc_id, tf and all positions of the term, ascending."""
+    each = docs.select(F.col(key).alias("doc_id"), F.posexplode(words(F.col(text))).alias("pos", "term"))
+    return each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+# -- a stored index --------------------------------------------------------------------------------
+
+
+class Index:
+    """An index in a folder: postings (term, doc_id, tf, positions) and lengths (doc_id, n), in segments.
+
+    Postings are sorted by term in small row groups, so a search reads the row groups of its terms and
+    nothing else.  Added documents are a new segment, removed ones a list that older segments are held against;
+    ``optimize`` makes one segment of all.  A document that is added again replaces the older one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in self.fs.listStatus(root)] if self.fs.exists(root) else []
+        self.segments = sorted(int(n.split("-")[1]) for n in names if n.startswith("lengths-"))
+        self.removals = sorted(int(n.split("-")[1]) for n in names if n.startswith("removed-"))
+
+    @property
+    def _next(self) -> int:
+        return max([*self.segments, *self.removals, 0]) + 1
+
+    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+        """Indexes documents; the segment counts once its lengths, which are written last, are there."""
+        n = self._next
+        ids = docs.select(F.col(key).alias("doc_id"))
+        if self.segments:
+            self.remove(ids)
+            n = self._next
+        rows = positions(docs, key, text).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        rows.write.mode("overwrite").option("parquet.block.size", 1 << 22).parquet(f"{self.path}/postings-{n}")
+        lengths = docs.select(F.col(key).alias("doc_id"), F.size(words(F.col(text))).cast("long").alias("n"))
+        lengths.write.mode("overwrite").parquet(f"{self.path}/lengths-{n}")
+        return Index(self.spark, self.path)
+
+    def remove(self, ids: DataFrame) -> Index:
+        """Documents of the segments so far that don't count any more."""
+        n = self._next
+        ids.select(F.col(ids.columns[0]).alias("doc_id")).distinct().write.mode("overwrite").parquet(f"{self.path}/removed-{n}")
+        self.removals.append(n)
+        return self
+
+    def _live(self, kind: str) -> DataFrame | None:
+        parts = []
+        for n in self.segments:
+            part = self.spark.read.parquet(f"{self.path}/{kind}-{n}")
+            for r in self.removals:
+                if r > n:
+                    part = part.join(self.spark.read.parquet(f"{self.path}/removed-{r}"), "doc_id", "left_anti")
+            parts.append(part)
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def postings(self) -> DataFrame:
+        """term, doc_id, tf and positions; a condition on term reaches the files."""
+        live = self._live("postings")
+        return self.spark.createDataFrame([], "term string, doc_id long, tf long, positions array<int>") if live is None else live
+
+    def lengths(self) -> DataFrame:
+        """doc_id and its number of words."""
+        live = self._live("lengths")
+        return self.spark.createDataFrame([], "doc_id long, n long") if live is None else live
+
+    def optimize(self) -> Index:
+        """One segment of all; the older ones go."""
+        old, n = [*self.segments, *self.removals], self._next
+        self.postings().repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 1 << 22).parquet(f"{self.path}/postings-{n}")
+        self.lengths().write.mode("overwrite").parquet(f"{self.path}/lengths-{n}")
+        for i in old:
+            for kind in ("lengths", "postings", "removed"):
+                self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}-{i}"), True)
+        return Index(self.spark, self.path)
+
+
 def upserted(index: DataFrame, fresh: DataFrame) -> DataFrame:
     """Postings after documents are added again: the old ones of these documents go."""
     return removed(index, fresh.select("doc_id").distinct()).unionByName(fresh)

@@ -60,11 +60,12 @@ def closest(df: DataFrame, query: list[float], key: str = "vec_id", vec: str = "
     return best.select(F.col(f"m.{key}").alias(key), F.col("m.distance").alias("distance"))
 
 
-def batch(df: DataFrame, queries: DataFrame, k: int, metric: str | V.Metric = V.Metric.COSINE, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def batch(df: DataFrame, queries: DataFrame, k: int, metric: str | V.Metric = V.Metric.COSINE, key: str = "vec_id", vec: str = "embedding", others: bool = False) -> DataFrame:
     """query_id, rank, key and score of the k nearest rows of each query (query_id, query).
 
     Up to ``BROADCAST_QUERIES`` queries are sent to every task, which multiplies matrices and keeps k rows a
-    query; more go in blocks of that many, each a pass over the data.  A query's own row is a candidate.
+    query; more go in blocks of that many, each a pass over the data.  A query's own row is a candidate
+    unless only others are asked for.
     """
     check_k(k)
     m = V.Metric.of(metric)
@@ -77,7 +78,7 @@ def batch(df: DataFrame, queries: DataFrame, k: int, metric: str | V.Metric = V.
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         got = part.toPandas()
         if len(got):
-            parts.append(_block(df, np.array(got["query_id"]), np.array(got["query"].tolist(), float), k, m, key, vec))
+            parts.append(_block(df, np.array(got["query_id"]), np.array(got["query"].tolist(), float), k, m, key, vec, others))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -86,7 +87,7 @@ def batch(df: DataFrame, queries: DataFrame, k: int, metric: str | V.Metric = V.
     return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
-def _block(df: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, m: V.Metric, key: str, vec: str) -> DataFrame:
+def _block(df: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, m: V.Metric, key: str, vec: str, others: bool) -> DataFrame:
     q_norm = np.sqrt((q**2).sum(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +108,8 @@ def _block(df: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, m: V.Metric, k
                 s = np.divide(s, norms, out=np.zeros_like(s), where=norms > 0)
             elif m is V.Metric.EUCLIDEAN:
                 s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * s, 0))
+            if others:
+                s[ids[:, None] == keys[None]] = -np.inf
             s = np.concatenate([best_score, s], axis=1)
             ks = np.concatenate([best_key, np.broadcast_to(keys, (len(q), len(keys)))], axis=1)
             by = np.lexsort((ks, -s), axis=1)[:, :k]
@@ -114,7 +117,8 @@ def _block(df: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, m: V.Metric, k
         n = best_score.shape[1]
         if n:
             score = -best_score if m is V.Metric.EUCLIDEAN else best_score
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_key.ravel()), pa.array(score.ravel())], ["query_id", key, "score"])
+            real = np.isfinite(best_score.ravel()) | ~np.full(score.size, others)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[real]), pa.array(best_key.ravel()[real]), pa.array(score.ravel()[real])], ["query_id", key, "score"])
 
     return df.select(F.col(key).cast("long"), vec).mapInArrow(run, f"query_id long, {key} long, score double")
 
@@ -122,9 +126,7 @@ def _block(df: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, m: V.Metric, k
 def graph(df: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Undirected edges (src, dst), each both ways, between rows and their k nearest others by Euclidean distance."""
     queries = df.select(F.col(key).cast("long").alias("query_id"), F.col(vec).alias("query"))
-    near = batch(df, queries, k + 1, V.Metric.EUCLIDEAN, key, vec).filter(F.col("query_id") != F.col(key))
-    w = Window.partitionBy("query_id").orderBy("rank")
-    kept = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select(F.col("query_id").alias("src"), F.col(key).alias("dst"))
+    kept = batch(df, queries, k, V.Metric.EUCLIDEAN, key, vec, others=True).select(F.col("query_id").alias("src"), F.col(key).alias("dst"))
     return kept.unionByName(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
@@ -153,14 +155,19 @@ def concentration(df: DataFrame, key: str = "vec_id", vec: str = "embedding") ->
     """
     got = df.select(F.col(key).cast("long"), vec).toPandas()
     ids, x = got[key].to_numpy(), np.array(got[vec].tolist(), float)
+    norm = (x**2).sum(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, square = 0, 0.0, 0.0
         for b in batches:
             a = np.array(b.column(1).to_pylist(), float)
             if len(a):
-                d = np.sqrt(((a[:, None] - x[None]) ** 2).sum(2))[b.column(0).to_numpy()[:, None] < ids[None]]
-                n, total, square = n + d.size, total + d.sum(), square + (d**2).sum()
+                mine = b.column(0).to_numpy()
+                for at in range(0, len(a), 256):
+                    part = a[at : at + 256]
+                    d = (part**2).sum(1)[:, None] + norm[None] - 2 * part @ x.T
+                    d = np.sqrt(np.maximum(d, 0))[mine[at : at + 256, None] < ids[None]]
+                    n, total, square = n + d.size, total + d.sum(), square + (d**2).sum()
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total]), pa.array([square])], ["n", "s", "q"])
 
     sums = df.select(F.col(key).cast("long"), vec).mapInArrow(run, "n long, s double, q double").agg(F.sum("n").alias("pairs"), F.sum("s").alias("s"), F.sum("q").alias("q"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspan.functions import filters
-from larkspan.functions.text import words
 from larkspan.operators import hybrid as H
-from larkspan.operators import inverted, knn
+from larkspan.operators import hnsw, inverted, knn
 from larkspan.plans import planner
 from larkspan.queries import query, table
-from larkspan.queries.text import TOKENS
+from larkspan.queries.text import TOKENS, stored
+from larkspan.sources.folders import kept
 
 POINTS = """WITH points AS (SELECT e.vec_id AS point_id, e.embedding::DOUBLE[] AS vector, e.label, d.lang, d.source, d.n_chars, d.text FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
 q AS (SELECT vector AS e FROM points WHERE point_id = 0),
@@ -77,9 +77,18 @@ def filter_equality_map(spark, d):
     return metadata(spark, d).filter(filters.equality({"lang": "en", "source": "src3"}, resolve)).select("point_id")
 
 
-@query("filter_bitmask", "SELECT doc_id AS point_id, lang = 'en' AS matches FROM documents WHERE doc_id < 500")
+IDS = "FROM range(0, (SELECT max(doc_id) + 1 FROM documents)) AS r(i) LEFT JOIN documents ON doc_id = i"
+
+
+@query("filter_bitmask", f"SELECT i AS point_id, coalesce(lang = 'en', false) AS matches {IDS}")
 def filter_bitmask(spark, d):
-    return H.HybridEngine(metadata(spark, d)).bitmask("lang:en", 500)
+    return H.HybridEngine(metadata(spark, d)).bitmask("lang:en")
+
+
+@query("mask_algebra", f"SELECT i AS point_id, coalesce(lang = 'en', false) AND NOT (coalesce(source = 'src3', false) OR coalesce(n_chars > 1000, false)) AS matches {IDS}")
+def mask_algebra(spark, d):
+    e = H.HybridEngine(metadata(spark, d))
+    return H.mask_and(e.bitmask("lang:en"), H.mask_not(H.mask_or(e.bitmask("source:src3"), e.bitmask("n_chars:>1000"))))
 
 
 @query("selectivity", "SELECT count(*) AS total, count(*) FILTER (WHERE lang = 'en') AS matches, round(avg((lang = 'en')::INT), 6) AS selectivity FROM documents")
@@ -132,6 +141,22 @@ query(
 )(_search("lang:en"))
 
 
+def _graph(spark, d):
+    path = kept(spark, "unit-graph", [f"{d}/embeddings.parquet", f"{d}/documents.parquet"], lambda p: hnsw.save(H.unit_graph(joined(spark, d)), p))
+    return hnsw.load(spark, path)
+
+
+def _by_graph(text):
+    def run(spark, d):
+        return _rounded(H.HybridEngine(points(spark, d), graph=_graph(spark, d)).search(H.HybridQuery(_vector(spark, d), 10, filter=text, ef=200)))
+
+    return run
+
+
+query("hybrid_graph", POINTS + TEN.format(source="s", where="true"))(_by_graph(None))
+query("hybrid_graph_filtered", POINTS + TEN.format(source="s", where="label = 3"))(_by_graph("label:3"))
+
+
 @query("hybrid_fallback", POINTS + TEN.format(source="s", where="lang = 'en' AND label = 3"))
 def hybrid_fallback(spark, d):
     """Vector first with far too small an expansion finds too few, so the scan of the matches answers."""
@@ -157,9 +182,8 @@ m AS (SELECT e.vec_id AS point_id, 0.7 * list_cosine_similarity(e.embedding::DOU
 SELECT point_id, round(s, 6) AS score FROM m ORDER BY s DESC, point_id LIMIT 10""",
 )
 def hybrid_bm25(spark, d):
-    docs = table(spark, d, "documents")
-    lengths = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n")).filter("n > 0")
-    bm = inverted.bm25(inverted.frequencies(docs), lengths, ["that", "this"])
+    index = stored(spark, d)
+    bm = inverted.bm25(index.postings().select("term", "doc_id", "tf"), index.lengths().filter("n > 0"), ["that", "this"])
     return H.weighted(points(spark, d), bm, _vector(spark, d), 10).withColumn("score", F.round("score", 6))
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from larkspan.queries import query, table
 from larkspan.sources import store
+from larkspan.sources.folders import fresh
 from larkspan.streaming import ingest
 
 
@@ -77,9 +76,7 @@ def vector_range(spark, d):
 
 
 def _folders(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{base.rstrip('/')}/larkspan-stream" if base else tempfile.mkdtemp(prefix="larkspan-stream-")
-    name = f"{root}/{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    name = fresh(spark, "stream")
     return f"{name}/table", f"{name}/checkpoint"
 
 
@@ -101,3 +98,22 @@ def streaming_topk(spark, d):
     run = ingest.topk_stream(e, 10, path, checkpoint, "value", "event_id")
     run.awaitTermination()
     return spark.read.parquet(f"{path}/version={run.lastProgress['batchId']}")
+
+
+@query(
+    "collection_search",
+    """WITH p AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0),
+s AS (SELECT p.id, p.label, 1 - greatest(-1, least(1, list_cosine_similarity(p.e, q.e))) AS distance FROM p, q)
+SELECT id, round(distance, 6) AS distance, label::VARCHAR AS label FROM s WHERE label = 3 ORDER BY s.distance, id LIMIT 10""",
+)
+def collection_search(spark, d):
+    """Points with JSON metadata in a collection: half compacted, half in the log, some deleted; then a filtered search."""
+    c = store.Database(spark, fresh(spark, "collections")).create("vectors", 64)
+    e = table(spark, d, "embeddings")
+    points = e.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.to_json(F.struct("label")).alias("metadata"), "vec_id")
+    c.upsert_json(points.filter("vec_id % 2 = 0").drop("vec_id"))
+    c.compact()
+    c.upsert_json(points.filter("vec_id % 2 = 1").drop("vec_id"))
+    c.delete(table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("id")))
+    query_vector = [float(x) for x in e.filter("vec_id = 0").first()["embedding"]]
+    return c.search(query_vector, 10, "label:3").select("id", F.round("distance", 6).alias("distance"), F.col("metadata")["label"].alias("label"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkspan.functions.text import STOPWORDS, words
 from larkspan.operators import inverted as I
 from larkspan.queries import query, table
+from larkspan.sources.folders import fresh, kept
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 TOKENS = f"""WITH raw AS (SELECT doc_id, string_split_regex(lower(text), '\\s+') AS ws FROM documents),
@@ -20,8 +21,14 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
+def stored(spark, d):
+    """The index of the documents, written once per session and read from its files."""
+    path = kept(spark, "text-index", [f"{d}/documents.parquet"], lambda p: I.Index(spark, p).add(docs(spark, d)))
+    return I.Index(spark, path)
+
+
 def index(spark, d):
-    return I.postings(docs(spark, d))
+    return stored(spark, d).postings().select("term", "doc_id")
 
 
 def tags(spark, d):
@@ -44,6 +51,22 @@ def term_frequency(spark, d):
     return I.frequencies(docs(spark, d))
 
 
+@query("term_positions", TOKENS + ", o AS (SELECT doc_id, w AS term, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS p FROM tok) SELECT term, doc_id, p AS pos FROM o WHERE term IN ('that', 'this')")
+def term_positions(spark, d):
+    hits = stored(spark, d).postings().filter(F.col("term").isin("that", "this"))
+    return hits.select("term", "doc_id", F.explode("positions").cast("long").alias("pos"))
+
+
+@query("index_persist", TOKENS + "SELECT term, doc_id, count(*) AS tf FROM tok WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY term, doc_id")
+def index_persist(spark, d):
+    """Written in two segments, documents removed, merged, and read back."""
+    path = fresh(spark, "text-index")
+    toxic = table(spark, d, "labels").filter("toxic = 1").select("doc_id")
+    half = docs(spark, d).filter("doc_id % 2 = 0"), docs(spark, d).filter("doc_id % 2 = 1")
+    I.Index(spark, path).add(half[0]).add(half[1]).remove(toxic)
+    return I.Index(spark, path).optimize().postings().select("term", "doc_id", "tf")
+
+
 @query("tag_index", TAGS + "SELECT term, doc_id FROM tags")
 def tag_index(spark, d):
     return tags(spark, d)

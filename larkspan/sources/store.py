@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import json
 import re
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.types import CHANGE_LOG, AlreadyExists, DimensionMismatch, EmptyVector, InvalidParameter, NotFound, StorageError
+from larkspan.functions import vectors as V
+from larkspan.functions.filters import map_field, where
+from larkspan.types import CHANGE_LOG, AlreadyExists, DimensionMismatch, EmptyVector, InvalidParameter, NotFound, StorageError, check_k
 
 POINT = ("id", "vector", "metadata", "seq")
 
@@ -98,6 +101,11 @@ class Files:
     def exists(self, name: str) -> bool:
         return self.fs.exists(self._path(name))
 
+    def size(self, folder: str) -> int:
+        """Bytes of a folder's files."""
+        p = self._path(folder)
+        return self.fs.getContentSummary(p).getLength() if self.fs.exists(p) else 0
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self._path(name))
         try:
@@ -128,7 +136,7 @@ class Collection:
         about = json.loads(self.files.read("collection.json"))
         self.name, self.dimension, self.distance = about["name"], about["dimension"], about["distance"]
         for n in self.files.names():  # what a crashed compaction left
-            if n.endswith(".tmp") or n.startswith("generation_") and int(n.split("_")[1]) > self.generation:
+            if n.endswith(".tmp") or n.startswith("staged-") or n.startswith("generation_") and int(n.split("_")[1]) > self.generation:
                 self.files.delete(n)
 
     @property
@@ -151,20 +159,59 @@ class Collection:
         schema = "id string, vector array<float>, metadata map<string,string>, seq bigint"
         return self.spark.read.schema(schema).parquet(f"{self.path}/generation_{g:016d}") if g else self.spark.createDataFrame([], schema)
 
-    def points(self) -> DataFrame:
-        """Live points; damaged log rows and what follows them don't count."""
+    def points(self, ids: DataFrame | Column | None = None) -> DataFrame:
+        """Live points; damaged log rows and what follows them don't count.
+
+        ids, a condition on ``id`` or a table of them, is applied to log and generation before the last operations are looked for.
+        """
         base = self.segment().withColumn("op", F.lit("insert"))
         tail = readable(self.log()).select("id", "vector", "metadata", "seq", "op")
+        if isinstance(ids, Column):
+            base, tail = base.filter(ids), tail.filter(ids)
+        elif ids is not None:
+            base, tail = base.join(ids, "id", "left_semi"), tail.join(ids, "id", "left_semi")
         return live(base.unionByName(tail)).select(*POINT)
 
+    def search(self, query: list[float], k: int = 10, filter: str | None = None) -> DataFrame:  # noqa: A002
+        """id, distance, score and metadata of the k nearest live points, by the collection's distance, ties to the smaller id.
+
+        The filter speaks of metadata fields and is below the distance; only k rows get their metadata back.
+        """
+        if len(query) != self.dimension:
+            raise DimensionMismatch(self.dimension, len(query))
+        points = self.points()
+        if filter:
+            points = points.filter(where(filter, map_field(F.col("metadata"))))
+        v, q = V.vector(F.col("vector")), V.vector([float(x) for x in query])
+        distance = {"euclidean": V.euclidean, "cosine": V.cosine_distance}.get(self.distance, lambda a, b: -V.dot(a, b))(v, q)
+        rows = points.select("id", distance.alias("distance"), "metadata").filter(F.col("distance").isNotNull() & ~F.isnan("distance"))
+        best = rows.orderBy("distance", "id").limit(check_k(k))
+        score = V.distance_to_score(F.col("distance")) if self.distance == "cosine" else -F.col("distance")
+        return best.select("id", "distance", score.alias("score"), "metadata")
+
     def _append(self, rows: DataFrame) -> int:
-        """Adds rows (op, id, vector, metadata) to the log with the next numbers; single writer."""
+        """Adds rows (op, id, vector, metadata) to the log with the next numbers; single writer.
+
+        Rows are written once without numbers; then each part gets the numbers behind those of the parts before it, so no task has them all.
+        """
         top = self.log().agg(F.max("seq")).first()[0]
         start = max(top or 0, self.manifest["checkpoint"]) + 1
-        n = rows.count()
-        numbered = rows.select((F.row_number().over(_by_id()) + F.lit(start - 1)).cast("bigint").alias("seq"), "op", "id", F.col("vector").cast("array<float>").alias("vector"), "metadata")
-        crc = checksum(F.col("seq"), F.col("op"), F.col("id"), F.col("vector"), F.col("metadata"))
-        numbered.withColumn("crc", crc.cast("bigint")).write.mode("append").parquet(f"{self.path}/log")
+        staged = f"staged-{self.spark._jvm.java.util.UUID.randomUUID()}"
+        kept = rows.select("op", "id", F.col("vector").cast("array<float>").alias("vector"), "metadata").sortWithinPartitions("id")
+        place = F.monotonically_increasing_id()
+        kept.withColumn("part", F.shiftright(place, 33)).withColumn("place", place.bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(f"{self.path}/{staged}")
+        there = self.spark.read.parquet(f"{self.path}/{staged}")
+        counts = sorted((r["part"], r["n"]) for r in there.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each task of the write
+        n, before = 0, []
+        for part, c in counts:
+            before.append((part, start + n))
+            n += c
+        if n:
+            offsets = F.broadcast(self.spark.createDataFrame(before, "part bigint, first bigint"))
+            numbered = there.join(offsets, "part").select((F.col("first") + F.col("place")).alias("seq"), "op", "id", "vector", "metadata")
+            crc = checksum(F.col("seq"), F.col("op"), F.col("id"), F.col("vector"), F.col("metadata"))
+            numbered.withColumn("crc", crc.cast("bigint")).write.mode("append").parquet(f"{self.path}/log")
+        self.files.delete(staged)
         return n
 
     def upsert(self, points: DataFrame) -> int:
@@ -182,13 +229,19 @@ class Collection:
     def insert_if_absent(self, points: DataFrame) -> int:
         return self.upsert(points.join(self.points().select("id"), "id", "left_anti"))
 
-    def delete(self, ids: list[str]) -> int:
+    def upsert_json(self, points: DataFrame) -> int:
+        """As ``upsert`` for points (id, vector, metadata) whose metadata is JSON text; values that are no strings keep their JSON spelling."""
+        return self.upsert(points.withColumn("metadata", F.from_json("metadata", "map<string,string>")))
+
+    def delete(self, ids: list[str] | DataFrame) -> int:
         """Logs deletions of the ids that are there; gives their number."""
-        there = self.points().filter(F.col("id").isin(*ids)).select("id")
+        if not isinstance(ids, DataFrame):
+            ids = self.spark.createDataFrame([(i,) for i in ids], "id string")
+        there = self.points(ids.select("id").distinct()).select("id")
         return self._append(there.select(F.lit("delete").alias("op"), "id", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("map<string,string>").alias("metadata")))
 
     def get(self, id_: str):
-        row = self.points().filter(F.col("id") == id_).first()
+        row = self.points(F.col("id") == id_).first()
         if row is None:
             raise NotFound(id_)
         return row
@@ -196,18 +249,33 @@ class Collection:
     def count(self) -> int:
         return self.points().count()
 
-    def should_compact(self, max_rows: int = 10_000) -> bool:
-        return self.log().count() >= max_rows
+    def log_bytes(self) -> int:
+        return self.files.size("log")
+
+    def should_compact(self, max_rows: int = 10_000, max_bytes: int | None = None, every: float | None = None) -> bool:
+        """Whether the log has so many rows or bytes, or holds any rows and the last compaction is so many seconds ago."""
+        rows = self.log().count()
+        old = every is not None and rows > 0 and time.time() - self.manifest.get("time", 0) >= every
+        return rows >= max_rows or (max_bytes is not None and self.log_bytes() >= max_bytes) or old
+
+    def stats(self) -> dict:
+        """Rows, log and generation sizes, and the totals of all compactions."""
+        m = self.manifest
+        return {"points": self.count(), "log_rows": self.log().count(), "log_bytes": self.log_bytes(), "generation": m["generation"], "compactions": m.get("compactions", 0), "bytes_reclaimed": m.get("bytes_reclaimed", 0)}
 
     def compact(self, crash: str | None = None) -> dict:
         """Writes the live state as the next generation; ``crash`` ("before" or "after" the rename) stops there, for tests."""
         top = readable(self.log()).agg(F.max("seq")).first()[0]
         if top is None:
             raise InvalidParameter("nothing to compact")
-        g = self.generation + 1
+        g, last, began = self.generation + 1, self.manifest, time.time()
+        before = self.log_bytes() + (self.files.size(f"generation_{g - 1:016d}") if g > 1 else 0)
         rows = self.points()
         rows.write.mode("overwrite").parquet(f"{self.path}/generation_{g:016d}")
         about = {"generation": g, "checkpoint": top, "rows": self.spark.read.parquet(f"{self.path}/generation_{g:016d}").count()}
+        size = self.files.size(f"generation_{g:016d}")
+        about |= {"time": time.time(), "seconds": time.time() - began, "bytes_before": before, "bytes_after": size}
+        about |= {"compactions": last.get("compactions", 0) + 1, "bytes_reclaimed": last.get("bytes_reclaimed", 0) + max(0, before - size)}
         self.files.write(f"manifest_{g:016d}.json.tmp", json.dumps(about))
         if crash == "before":
             return about
@@ -226,12 +294,6 @@ class Collection:
                     self.files.delete(n)
 
 
-def _by_id():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy("id")
-
-
 class Database:
     """Collections under one folder."""
 
