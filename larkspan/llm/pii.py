@@ -269,7 +269,8 @@ def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str |
         found = discover(scanned, bootstrap(scanned, rows.select("text")))
         by_row = written(scanned.join(found, "row_id").groupBy("key", "print").agg(F.first("found").alias("found")).withColumnsRenamed({"key": "f_key", "print": "f_print"}), "found", lasting=True)
     same = plain[key_].eqNullSafe(by_row.f_key) & (F.xxhash64(plain[text_]) == by_row.f_print)
-    joined = plain.join(bounded(by_row), same, "left").select(*plain.columns, "found")
+    inner = plain.columns
+    joined = plain.join(bounded(by_row), same, "left").select(*inner, "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +283,7 @@ def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str |
             columns = [pa.array(fresh, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
             if length_at >= 0:
                 columns[length_at] = pa.array([None if t is None else len(t) for t in fresh], batch.column(length_at).type)
-            yield pa.RecordBatch.from_arrays(columns, plain.columns)
+            yield pa.RecordBatch.from_arrays(columns, inner)
 
     return joined.mapInArrow(run, plain.schema).toDF(*names)
 
