@@ -70,8 +70,31 @@ def measure(run: Callable[[], object], times: int = 10, warm_up: int = 3) -> dic
 
 
 def compare(base: Mapping[str, float], other: Mapping[str, float]) -> dict[str, float]:
-    """Times as fast, and recall lost, where both have it."""
-    return {"speed_up": base["avg"] / other["avg"], "recall_loss": base.get("recall", 1.0) - other.get("recall", 1.0)}
+    """Times as fast, and recall lost; with build seconds and bytes (``cost``) on both sides also how many times those."""
+    out = {"speed_up": base["avg"] / other["avg"], "recall_loss": base.get("recall", 1.0) - other.get("recall", 1.0)}
+    return out | {f"{k}_ratio": other[k] / base[k] for k in ("build_seconds", "bytes") if base.get(k) and k in other}
+
+
+def cost(spark: SparkSession, build: Callable[[], object], path: str) -> dict[str, float]:
+    """Seconds that a build takes which writes to a folder, and the folder's bytes."""
+    at = time.perf_counter()
+    build()
+    took = time.perf_counter() - at
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return {"build_seconds": took, "bytes": float(root.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(root).getLength())}
+
+
+def sweep(run: Callable[[int], DataFrame], values: list[int], truth: DataFrame, k: int, by: str = "query_id", key: str = "vec_id") -> list[dict[str, float]]:
+    """For each value of a parameter (such as ef): value, recall at k and the milliseconds of one run for all queries."""
+    out = []
+    for v in values:
+        at = time.perf_counter()
+        found = run(v).select(by, key).collect()
+        took = (time.perf_counter() - at) * 1000
+        rows = truth.sparkSession.createDataFrame(found, truth.select(by, key).schema) if found else truth.select(by, key).limit(0)
+        mean = recall(rows, truth, k, by, key, of_truth=True).agg(F.avg("recall").alias("r")).first()["r"]
+        out.append({"value": v, "recall": mean, "ms": took})
+    return out
 
 
 def regressions(base: Mapping[str, float], now: Mapping[str, float], limit: float = 0.10) -> dict[str, float]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from larkspan.functions import vectors as V
 from larkspan.functions.filters import json_field, where
 from larkspan.operators import hnsw, knn
-from larkspan.plans.planner import Planner, Strategy, needs_fallback
+from larkspan.plans.planner import Planner, SearchLog, Strategy, needs_fallback
 from larkspan.types import check_k
 
 
@@ -121,6 +122,15 @@ class HybridEngine:
             return brute_force(self.points, predicate, query.vector, query.k)
         return self.points.sparkSession.createDataFrame(rows, found.schema)
 
+    def logged(self, query: HybridQuery, log: SearchLog) -> list:
+        """The rows of a search, whose strategy, selectivity and time go into the log."""
+        at = time.perf_counter()
+        n, m = self.counts(where(query.filter, self.resolve)) if query.filter else (0, 0)
+        strategy = self.planner.plan(n, m, query.k).strategy if query.filter else Strategy.VECTOR_FIRST
+        rows = self.search(query).collect()  # k rows at most
+        log.record(strategy, m / n if n else 1.0, (time.perf_counter() - at) * 1000)
+        return rows
+
     def with_metadata(self, results: DataFrame) -> DataFrame:
         """The JSON of the final rows only: the results are k rows, so they are the broadcast side."""
         return self.points.select("point_id", "metadata").join(F.broadcast(results), "point_id")

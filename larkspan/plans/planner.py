@@ -114,6 +114,26 @@ def best_by_selectivity(runs: DataFrame) -> DataFrame:
     return runs.groupBy(at).agg(first.alias("m")).select("selectivity", F.col("m.strategy").alias("strategy"), F.col("m.latency_ms").alias("latency_ms"))
 
 
+STATISTICS = "seq long, strategy string, selectivity double, latency_ms double, recall double"
+
+
+@dataclass
+class SearchLog:
+    """Statistics of real searches, the last ``keep`` of them, as the tables that ``summary`` and ``recommend`` read."""
+
+    keep: int = 10_000
+    rows: list[tuple] = field(default_factory=list)
+    seq: int = 0
+
+    def record(self, strategy: Strategy, selectivity: float, latency_ms: float, recall: float | None = None) -> None:
+        self.seq += 1
+        self.rows.append((self.seq, strategy.value, float(selectivity), float(latency_ms), recall))
+        del self.rows[: -self.keep]
+
+    def table(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.rows, STATISTICS)
+
+
 @dataclass
 class AdaptivePlanner:
     """A planner whose thresholds are learnt again after every so many plans."""

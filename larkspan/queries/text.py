@@ -54,10 +54,10 @@ def term_frequency(spark, d):
 @query("term_positions", TOKENS + ", o AS (SELECT doc_id, w AS term, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS p FROM tok) SELECT term, doc_id, p AS pos FROM o WHERE term IN ('that', 'this')")
 def term_positions(spark, d):
     hits = stored(spark, d).postings().filter(F.col("term").isin("that", "this"))
-    return hits.select("term", "doc_id", F.explode("positions").cast("long").alias("pos"))
+    return hits.select("term", "doc_id", F.explode("positions").alias("pos")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("index_persist", TOKENS + "SELECT term, doc_id, count(*) AS tf FROM tok WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY term, doc_id")
+@query("index_persist", TOKENS + "SELECT w AS term, doc_id, count(*) AS tf FROM tok WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY w, doc_id")
 def index_persist(spark, d):
     """Written in two segments, documents removed, merged, and read back."""
     path = fresh(spark, "text-index")

@@ -294,6 +294,36 @@ class Collection:
                     self.files.delete(n)
 
 
+class LogWriter:
+    """Upserts of a collection gathered until its sync policy says so: each call, every so many calls, or so many seconds after the last sync.
+
+    What is gathered is lost if the driver is; ``sync`` and the end of a ``with`` block write it.
+    """
+
+    def __init__(self, collection: Collection, calls: int = 1, seconds: float | None = None):
+        self.collection, self.calls, self.seconds = collection, calls, seconds
+        self.held: list[DataFrame] = []
+        self.last = time.monotonic()
+
+    def upsert(self, points: DataFrame) -> int:
+        """Rows written by this call, those held before included."""
+        self.held.append(points)
+        due = len(self.held) >= self.calls if self.seconds is None else time.monotonic() - self.last >= self.seconds
+        return self.sync() if due else 0
+
+    def sync(self) -> int:
+        # of an id in several calls the last one counts, so each call is appended by itself
+        n = sum(self.collection.upsert(p) for p in self.held)
+        self.held, self.last = [], time.monotonic()
+        return n
+
+    def __enter__(self) -> LogWriter:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.sync()
+
+
 class Database:
     """Collections under one folder."""
 

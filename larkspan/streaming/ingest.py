@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -50,3 +52,34 @@ def compact_between(collection: Collection, max_rows: int = 10_000) -> bool:
         return False
     collection.compact()
     return True
+
+
+class Ticker:
+    """Compacts a collection every so many seconds if its log has grown, until it is stopped; ``stop`` waits for a compaction under way."""
+
+    def __init__(self, collection: Collection, every: float = 60.0, max_rows: int = 10_000):
+        self.collection, self.every, self.max_rows = collection, every, max_rows
+        self.compactions, self._end = 0, threading.Event()
+        self._thread = threading.Thread(target=self._run, daemon=True)
+
+    def start(self) -> Ticker:
+        self._thread.start()
+        return self
+
+    def _run(self) -> None:
+        while not self._end.wait(self.every):
+            self.compactions += compact_between(self.collection, self.max_rows)
+
+    def stop(self) -> None:
+        self._end.set()
+        self._thread.join()
+
+
+def shut_down(queries: list[StreamingQuery], tickers: list[Ticker] = ()) -> None:
+    """Ends streams after what they have read is processed, then tickers."""
+    for q in queries:
+        if q.isActive:
+            q.processAllAvailable()
+        q.stop()
+    for t in tickers:
+        t.stop()

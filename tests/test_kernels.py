@@ -119,3 +119,18 @@ def test_generators(spark):
     v = evaluate.generated(spark, 3, 4).collect()[2]["vector"]
     assert v == pytest.approx([math.sin((62 + 17 * i) * 0.001) for i in range(4)])
     assert all(-1 <= x < 1 for r in evaluate.uniform(spark, 5, 6).collect() for x in r["vector"])
+
+
+def test_sql_functions(spark):
+    from larkspan.functions import sql
+
+    assert "vec_dot" in sql.register(spark)
+    row = spark.sql("SELECT vec_dot(array(1D, 2D), array(3D, 4D)) AS d, vec_cosine(array(0D, 0D), array(1D, 1D)) AS z, vec_euclidean(array(0D, 3D), array(4D, 0D)) AS e, vec_magnitude(array(3D, 4D)) AS m").first()
+    assert (row.d, row.z, row.e, row.m) == (11.0, 0.0, 5.0, 5.0)
+
+
+def test_sweep(spark):
+    truth = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (2, 21)], "query_id long, vec_id long")
+    got = evaluate.sweep(lambda ef: truth.filter(f"vec_id % 10 < {ef}"), [1, 2], truth, 2)
+    assert [r["recall"] for r in got] == [0.5, 1.0] and all(r["ms"] > 0 for r in got)
+    assert evaluate.compare({"avg": 2.0, "bytes": 10.0}, {"avg": 1.0, "bytes": 25.0})["bytes_ratio"] == 2.5

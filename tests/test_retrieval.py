@@ -128,6 +128,73 @@ def test_hnsw_recall(spark, sf):
     assert hnsw.search(index, q, 5, with_stats=True).filter("visited > 0 and layers >= 1").count() == q.count()
 
 
+@pytest.mark.parametrize("share", [1.0, 0.5, 0.1, 0.01])
+def test_hnsw_masked(share):
+    """Recall on clusters of points, walking through points that the mask leaves out."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + rng.normal(size=(60, 12)) for c in rng.normal(size=(30, 12)) * 8])
+    built = hnsw.Graph(np.arange(len(x)), x).build()
+    g = hnsw.Graph.load(*built.packed(), 16)
+    assert g.links == built.links and g.levels == built.levels and g.entry == built.entry
+    mask = rng.random(len(x)) < share
+    mask[:12] = True
+    hits = total = 0
+    for q in rng.normal(size=(40, 12)) * 8:
+        d = np.where(mask, ((x - q) ** 2).sum(1), np.inf)
+        found = [n for _, n in g.search(q, 10, 100, None if share == 1 else mask)]
+        assert len(found) == 10 and (share == 1 or all(mask[n] for n in found))
+        hits, total = hits + len(set(found) & set(np.argsort(d, kind="stable")[:10].tolist())), total + 10
+    assert hits >= 0.9 * total
+
+
+def test_hnsw_stored(spark, sf, tmp_path):
+    """An index written, read, and grown finds what a new one finds; no search shuffles it."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    half = hnsw.save(hnsw.build(e.filter("vec_id % 2 = 0"), rows_per_shard=60), f"file://{tmp_path}/half")
+    grown = hnsw.save(hnsw.insert(half, e), f"file://{tmp_path}/grown")
+    assert grown.agg(F.sum("nodes")).first()[0] == e.count()
+    found = hnsw.search(grown, q, 10).withColumnRenamed("node_id", "vec_id")
+    assert evaluate.recall(found, knn.batch(e, q, 10, "euclidean"), 10).agg(F.avg("recall")).first()[0] >= 0.9
+    plan = hnsw._block(grown, [0], np.zeros((1, 64)), 1, 10, 16, False)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+
+
+def test_stored_index(spark, tmp_path):
+    """Segments, removals and a merge give what an index of the last state gives; a search reads its terms' files only."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} and common word{i % 3} text") for i in range(50)], "doc_id long, text string")
+    path = f"file://{tmp_path}/index"
+    index = I.Index(spark, path).add(docs.filter("doc_id < 30")).add(docs.filter("doc_id >= 30"))
+    index = index.add(spark.createDataFrame([(3, "other words")], "doc_id long, text string")).remove(spark.createDataFrame([(4,)], "doc_id long"))
+    want = I.positions(docs.filter("doc_id NOT IN (3, 4)").unionByName(spark.createDataFrame([(3, "other words")], "doc_id long, text string")))
+    state = lambda x: {(r.term, r.doc_id, r.tf, tuple(r.positions)) for r in x.collect()}
+    assert state(I.Index(spark, path).postings()) == state(want)
+    merged = I.Index(spark, path).optimize()
+    assert state(merged.postings()) == state(want) and len(merged.segments) == 1 and not merged.removals
+    assert merged.lengths().count() == 49
+    plan = merged.postings().filter("term = 'common'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,common)" in plan
+    assert I.Index(spark, f"file://{tmp_path}/none").postings().count() == 0
+
+
+def test_masks(spark):
+    pts = spark.createDataFrame([(0, [1.0], '{"a":1}'), (2, [1.0], '{"a":2}')], "point_id long, vector array<double>, metadata string")
+    e = H.HybridEngine(pts)
+    one, two = e.bitmask("a:1"), e.bitmask("a:2", 4)
+    values = lambda m: [r.matches for r in m.orderBy("point_id").collect()]
+    assert values(one) == [True, False, False] and values(two) == [False, False, True, False]
+    assert values(H.mask_or(one, two)) == [True, False, True, False] and values(H.mask_and(one, H.mask_not(two))) == [True, False, False, False]
+    assert ids(H.mask_ids(two)) == [2] and H.mask_stats(two).first().selectivity == 0.25
+
+
+def test_field_words(spark):
+    """Whatever is no letter or digit parts words, and phrases stay within an element of an array."""
+    df = spark.createDataFrame([('{"t":["red-blue car","green, fast"],"s":"a_b/c"}',)], "metadata string")
+    holds = lambda q: df.filter(filters.where(q, filters.json_field(F.col("metadata")))).count() == 1
+    assert holds("t:blue") and holds('t:"blue car"') and holds("s:b") and holds("t:red-blue")
+    assert not holds('t:"car green"') and holds('t:"green fast"') and not holds("t:redblue")
+
+
 def test_hnsw_blocks(spark, sf, monkeypatch):
     """Any number of queries: blocks of them give what one call gives, and more than 10 000 are answered."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet").limit(60)

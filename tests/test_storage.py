@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspan.sources import segments
-from larkspan.sources.store import Database, Files
+from larkspan.sources.store import Database, Files, LogWriter
 from larkspan.streaming import ingest
 from larkspan.types import AlreadyExists, DimensionMismatch, EmptyVector, FormatError, InvalidParameter, NotFound
 
@@ -118,3 +118,46 @@ def test_compaction_rule(spark, db):
     c.upsert(points(spark, "a", "b"))
     assert not ingest.compact_between(c, 3) and ingest.compact_between(c, 2)
     assert Files(spark, c.path).exists("manifest_0000000000000001.json")
+
+
+def test_search_and_stats(spark, tmp_path):
+    """Search over generation and log with deletions, JSON metadata and a filter; compaction by rows, bytes and time."""
+    c = Database(spark, f"file://{tmp_path}/db").create("c", 2, "euclidean")
+    rows = [(f"p{i}", [float(i), 0.0], f'{{"parity":"{"even" if i % 2 == 0 else "odd"}","n":{i}}}') for i in range(40)]
+    make = lambda x: spark.createDataFrame(x, "id string, vector array<float>, metadata string")
+    assert c.upsert_json(make(rows[:20]).repartition(3)) == 20 and not c.should_compact(21)
+    assert c.should_compact(20) and c.should_compact(100, max_bytes=1) and c.should_compact(100, every=0)
+    about = c.compact()
+    assert about["bytes_before"] > 0 and about["compactions"] == 1 and not c.should_compact(1, every=0)
+    assert c.upsert_json(make(rows[20:]).repartition(4)) == 20
+    assert c.delete(spark.createDataFrame([("p21",), ("gone",)], "id string")) == 1 and c.delete(["p1"]) == 1
+    got = c.search([21.4, 0.0], 3).collect()
+    assert [r.id for r in got] == ["p22", "p20", "p23"] and abs(got[0].distance - 0.6) < 1e-6
+    assert [r.id for r in c.search([0.0, 0.0], 2, "parity:odd AND n:>2").collect()] == ["p3", "p5"]
+    assert c.get("p30").metadata["n"] == "30" and c.count() == 38
+    seqs = [r.seq for r in c.log().orderBy("seq").collect()]
+    assert seqs == list(range(21, 43)) and c.stats()["compactions"] == 1
+    with pytest.raises(DimensionMismatch):
+        c.search([1.0], 1)
+
+
+def test_sync_policy(spark, db):
+    c = db.create("docs", 2)
+    writer = LogWriter(c, calls=3)
+    assert [writer.upsert(points(spark, x)) for x in "abc"] == [0, 0, 3] and c.count() == 3
+    with LogWriter(c, seconds=3600) as timed:
+        assert timed.upsert(points(spark, "d")) == 0 and c.count() == 3
+    assert c.count() == 4
+
+
+def test_ticker(spark, db):
+    import time
+
+    c = db.create("docs", 2)
+    c.upsert(points(spark, "a", "b"))
+    t = ingest.Ticker(c, every=0.2, max_rows=2).start()
+    until = time.monotonic() + 60
+    while not t.compactions and time.monotonic() < until:
+        time.sleep(0.2)
+    ingest.shut_down([], [t])
+    assert t.compactions >= 1 and c.generation == 1 and live(c) == {"a": 1, "b": 1}
