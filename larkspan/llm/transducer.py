@@ -142,7 +142,8 @@ class Transducer:
             if kinds[i] == _NORMAL and (not self.merges or len(p) == 1 or parts.get(p)):
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.single = {p: i for i, p in enumerate(self.pieces) if kinds[i] == _NORMAL and len(p) == 1}
+        self.characters = frozenset(p for i, p in enumerate(self.pieces) if kinds[i] == _NORMAL and len(p) == 1)
+        self.lightest = min((self.weight[i] for i, k in enumerate(kinds) if k == _NORMAL), default=0.0)
         self.paths: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.entries = entries
@@ -154,23 +155,23 @@ class Transducer:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(self.out), np.uint8)
 
-    def arcs(self, part: str) -> Iterator[tuple[int, int, int]]:
-        """(from, to, piece) of the lattice by the place of their end: the pieces composed with a part."""
-        for end, (piece, size) in self.automaton.iter(part):
-            yield end + 1 - size, end + 1, piece
-
     def path(self, part: str) -> list[int]:
-        """Ids along the shortest path of a part, blanks already being marks."""
+        """Ids along the shortest path of a part, blanks already being marks: the pieces that end at each place are the arcs of the composition."""
         n, known, fits, weight = len(part), self.known, self.fits, self.weight
         if len(known) > 4 * self.entries:
             known.clear()
         # of each place the least weight, the last piece (-1 for a byte run, which any piece may follow) and where it came from
         least, last, came = [0.0] + [INFINITY] * n, [-1] * (n + 1), [0] * (n + 1)
-        done = 0
-        for j, to, piece in self.arcs(part):
-            if done < to - 1:
-                self._bytes(part, least, last, came, done, to - 1)
-                done = to - 1
+        # most parts have no character that needs bytes; a path that even the lightest piece can't better is left early
+        done, lightest, bytes_ = 0, self.lightest, not self.characters.issuperset(part)
+        for end, (piece, size) in self.automaton.iter(part):
+            to = end + 1
+            j = to - size
+            if bytes_ and done < end:
+                self._bytes(part, least, last, came, done, end)
+                done = end
+            if least[j] + lightest >= least[to]:
+                continue
             total = least[j] + weight[piece]
             if total >= least[to]:
                 continue
@@ -183,7 +184,8 @@ class Transducer:
                 if not ok:
                     continue
             least[to], last[to], came[to] = total, piece, j
-        self._bytes(part, least, last, came, done, n)
+        if bytes_:
+            self._bytes(part, least, last, came, done, n)
         out: list[int] = []
         at = n
         while at:
@@ -197,7 +199,7 @@ class Transducer:
     def _bytes(self, part: str, least: list[float], last: list[int], came: list[int], start: int, stop: int) -> None:
         """The arcs of characters that are no piece by themselves: their bytes."""
         for i in range(start + 1, stop + 1):
-            if part[i - 1] not in self.single:
+            if part[i - 1] not in self.characters:
                 total = least[i - 1] + self.byte_weight
                 if total < least[i]:
                     least[i], last[i], came[i] = total, -1, i - 1
