@@ -314,7 +314,7 @@ def test_archives(spark, sf, monkeypatch):
     from larkspan.llm._common import scratch
 
     folder = scratch(spark, "warc-test")
-    monkeypatch.setattr(warc, "RUN_RECORDS", 20)
+    monkeypatch.setattr(warc, "RUN_RECORDS", 5)
     monkeypatch.setattr(warc, "BLOCK", 4)
     monkeypatch.setattr(warc, "FAN", 4)
     runs = warc.read_runs(warc.write_archives(df.repartition(3), folder), folder)
