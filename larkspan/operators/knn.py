@@ -14,6 +14,8 @@ from larkspan.functions import vectors as V
 from larkspan.types import InvalidParameter, NotFound, check_k
 
 BROADCAST_QUERIES = 20_000
+#: queries and rows of a matrix product, and pairs that are computed at once
+TILE, PAIRS = (512, 2048), 16_384
 
 
 def vector_of(df: DataFrame, id_: int, key: str = "vec_id", vec: str = "embedding") -> list[float]:
@@ -63,12 +65,13 @@ def closest(df: DataFrame, query: list[float], key: str = "vec_id", vec: str = "
 def batch(df: DataFrame, queries: DataFrame, k: int, metric: str | V.Metric = V.Metric.COSINE, key: str = "vec_id", vec: str = "embedding", others: bool = False) -> DataFrame:
     """query_id, rank, key and score of the k nearest rows of each query (query_id, query).
 
-    Up to ``BROADCAST_QUERIES`` queries are sent to every task, which multiplies matrices and keeps k rows a
+    Up to ``BROADCAST_QUERIES`` queries are sent to every task, which multiplies matrices by tiles and keeps k rows a
     query; more go in blocks of that many, each a pass over the data.  A query's own row is a candidate
-    unless only others are asked for.
+    unless only others are asked for; null vectors and scores that are not a number take no part.
     """
     check_k(k)
     m = V.Metric.of(metric)
+    queries = queries.filter("query IS NOT NULL")
     rows = queries.count()
     if rows == 0:
         return df.sparkSession.createDataFrame([], f"query_id long, rank int, {key} long, score double")
@@ -88,41 +91,95 @@ def batch(df: DataFrame, queries: DataFrame, k: int, metric: str | V.Metric = V.
 
 
 def _block(df: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, m: V.Metric, key: str, vec: str, others: bool) -> DataFrame:
-    q_norm = np.sqrt((q**2).sum(1))
+    """What each task finds for the queries of one block.
+
+    Matrix products of ``TILE`` queries and rows, never of a whole block, say which pairs may be among the k nearest; these are
+    computed one by one, so that equal vectors have equal scores.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score = np.full((len(q), 0), 0.0)
-        best_key = np.full((len(q), 0), 0, np.int64)
+        left, best = _sides(q, m)[0], _Best(len(q), k)
         for b in batches:
             keep = b.column(1).is_valid()
             column, keys = b.column(1).filter(keep), b.column(0).filter(keep).to_numpy()
-            if not len(keys):
-                continue
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
             if flat.size != len(keys) * q.shape[1]:
                 raise InvalidParameter("vectors differ in dimension")
-            x = flat.reshape(len(keys), -1)
-            s = q @ x.T
-            if m is V.Metric.COSINE:
-                norms = q_norm[:, None] * np.sqrt((x**2).sum(1))[None]
-                s = np.divide(s, norms, out=np.zeros_like(s), where=norms > 0)
-            elif m is V.Metric.EUCLIDEAN:
-                s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * s, 0))
-            if others:
-                s[ids[:, None] == keys[None]] = -np.inf
-            s = np.concatenate([best_score, s], axis=1)
-            ks = np.concatenate([best_key, np.broadcast_to(keys, (len(q), len(keys)))], axis=1)
-            by = np.lexsort((ks, -s), axis=1)[:, :k]
-            best_score, best_key = np.take_along_axis(s, by, 1), np.take_along_axis(ks, by, 1)
-        n = best_score.shape[1]
-        if n:
-            score = -best_score if m is V.Metric.EUCLIDEAN else best_score
-            real = np.isfinite(best_score.ravel()) | ~np.full(score.size, others)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[real]), pa.array(best_key.ravel()[real]), pa.array(score.ravel()[real])], ["query_id", key, "score"])
+            for at in range(0, len(keys), TILE[1]):
+                some = keys[at : at + TILE[1]]
+                x = flat[at * q.shape[1] :][: len(some) * q.shape[1]].reshape(len(some), -1)
+                right = _sides(x, m)[1]
+                for i in range(0, len(q), TILE[0]):
+                    _tile(best, i, ids[i : i + TILE[0]], q[i : i + TILE[0]], left[i : i + TILE[0]], some, x, right, m, others)
+        for i in range(0, len(q), TILE[1]):
+            cost, at = best.cost[i : i + TILE[1]].ravel(), best.key[i : i + TILE[1]].ravel()
+            real = ~np.isnan(cost)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + TILE[1]], k)[real]), pa.array(at[real]), pa.array(cost[real] if m is V.Metric.EUCLIDEAN else -cost[real])], ["query_id", key, "score"])
 
     return df.select(F.col(key).cast("long"), vec).mapInArrow(run, f"query_id long, {key} long, score double")
 
 
+class _Best:
+    """The k least costs of each query and their keys, in order; NaN where there are fewer."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.cost, self.key = k, np.full((n, k), np.nan), np.zeros((n, k), np.int64)
+
+    def add(self, row: np.ndarray, cost: np.ndarray, key: np.ndarray) -> None:
+        rows = np.unique(row)
+        every = np.concatenate([np.repeat(rows, self.k), row])
+        costs, keys = np.concatenate([self.cost[rows].ravel(), cost]), np.concatenate([self.key[rows].ravel(), key])
+        by = np.lexsort((keys, costs, every))
+        first = np.searchsorted(every[by], rows)
+        by = by[first[:, None] + np.arange(self.k)]
+        self.cost[rows], self.key[rows] = costs[by], keys[by]
+
+
+def _sides(x: np.ndarray, m: V.Metric) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as the left and the right of a product that is about their cost, squared if Euclidean."""
+    if m is V.Metric.EUCLIDEAN:
+        square, one = (x**2).sum(1)[:, None], np.ones((len(x), 1))
+        return np.hstack([x, square, one]), np.hstack([-2 * x, one, square])
+    if m is V.Metric.COSINE:
+        norm = np.sqrt((x**2).sum(1))[:, None]
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return x, -x
+
+
+def _costs(a: np.ndarray, b: np.ndarray, m: V.Metric) -> np.ndarray:
+    """The cost of each pair of rows: the distance, or the similarity's opposite."""
+    if m is V.Metric.EUCLIDEAN:
+        return np.sqrt(((a - b) ** 2).sum(1))
+    dot = (a * b).sum(1)
+    if m is V.Metric.COSINE:
+        norms = np.sqrt((a**2).sum(1)) * np.sqrt((b**2).sum(1))
+        dot = np.divide(dot, norms, out=np.where(np.isnan(norms), np.nan, 0.0), where=norms > 0)
+    return -dot
+
+
+def _tile(best: _Best, at: int, ids: np.ndarray, q: np.ndarray, left: np.ndarray, keys: np.ndarray, x: np.ndarray, right: np.ndarray, m: V.Metric, others: bool) -> None:
+    """Adds the pairs of some queries, which begin at a place of the block, and some rows."""
+    near = left @ right.T
+    # what rounding can make of a product
+    slack = 1e-12 * (1 + np.abs(left).max(initial=0, where=np.isfinite(left))) * (1 + np.abs(right).max(initial=0, where=np.isfinite(right))) * left.shape[1]
+    if others:
+        own = np.flatnonzero(np.isin(keys, ids))
+        if len(own):
+            near[:, own] = np.where(ids[:, None] == keys[own], np.inf, near[:, own])
+    bound = best.cost[at : at + len(ids), -1]
+    bound = (bound**2 if m is V.Metric.EUCLIDEAN else bound) + slack
+    if np.isnan(bound).any() and len(keys) > best.k:
+        here = np.partition(near, best.k - 1, axis=1)[:, best.k - 1] + 2 * slack
+        bound = np.fmin(bound, here)
+    rows, places = np.nonzero(~(near > bound[:, None]))
+    for i in range(0, len(rows), PAIRS):
+        r, p = rows[i : i + PAIRS], places[i : i + PAIRS]
+        cost = _costs(q[r], x[p], m)
+        real = ~np.isnan(cost) & ~((ids[r] == keys[p]) & others)
+        if real.any():
+            best.add(at + r[real], cost[real], keys[p][real])
+
+
 def graph(df: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Undirected edges (src, dst), each both ways, between rows and their k nearest others by Euclidean distance."""
     queries = df.select(F.col(key).cast("long").alias("query_id"), F.col(vec).alias("query"))

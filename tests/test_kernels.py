@@ -90,6 +90,45 @@ def test_batch_equals_single(spark, sf, metric):
         assert [r.vec_id for r in got if r.query_id == i] == want
 
 
+class _Run:
+    """Takes the place of a table and gives the function that its tasks would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_batch_in_tiles(spark):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    # 6000 queries, 10 000 rows, of which each third is a copy of one vector
+    x = np.random.default_rng(1).normal(size=(10_000, 8)).astype("f4")
+    x[::3] = x[0]
+    ids = np.arange(len(x))
+    rows = [pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(x), pa.list_(pa.float32()))], ["vec_id", "embedding"])]
+    run = knn._block(_Run(), ids[:6000], x[:6000].astype(float), 5, V.Metric.EUCLIDEAN, "vec_id", "embedding", True)
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(run(iter(rows))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # a product of them all is 480 MB
+    found = np.array(got["vec_id"]).reshape(-1, 5)
+    for i in (0, 3, 4, 3333, 5999):
+        far = np.sqrt(((x.astype(float) - x[i].astype(float)) ** 2).sum(1))
+        far[i] = np.inf
+        assert found[i].tolist() == np.lexsort((ids, far))[:5].tolist()
+
+
+def test_batch_leaves_out_what_is_no_number(spark):
+    df = points(spark, [(0, [0.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [float("nan"), 0.0]), (4, [1.0, 1.0])])
+    assert sorted(tuple(r) for r in knn.graph(df, 3).collect()) == [(0, 1), (0, 4), (1, 0), (1, 4), (4, 0), (4, 1)]
+
+
 def test_walk():
     import numpy as np
 
