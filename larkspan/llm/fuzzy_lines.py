@@ -17,8 +17,7 @@ Candidates share two or three blocks (pigeonhole):
 
 Of these, lines are compared whose lengths fit and whose SimHashes (``BITS`` bits a block) agree in half of the blocks that have
 words in either; lines of up to ``TINY`` characters always are.  Two are linked if the edit distance of the normalised lines is at most a
-fifth of the longer one, in letters, or in lines over ``LETTERS`` in pieces of up to ``PIECE`` letters.  Of each connected group the
-first occurrence stays, by key, then line number.  Candidates are a matter of chance where edits touch nearly every word or block.
+fifth of the longer one, in letters.  Of each connected group the first occurrence stays, by key, then line number.  Candidates are a matter of chance where edits touch nearly every word or block.
 
 Defined results: a null text stays null and an empty one empty; lines without a word stay and are never
 linked; rows equal in key and text count as one and keep the same lines; null keys come first; other
@@ -41,7 +40,7 @@ BLOCKS, AGREE, BITS = 10, 0.5, 6
 LONG, SHORT, FEW, TINY, LIGHT = 20, (8, 25), 10, 24, 3
 #: letters of a piece at most, and characters that stand for pieces (the first and how many)
 PIECE, CODES = 4, (0x100, 0xD400 - 0x100)
-#: longer lines are compared by pieces
+#: longer lines are compared by pieces first
 LETTERS = 200
 
 
@@ -136,13 +135,13 @@ def coded(texts: DataFrame) -> DataFrame:
 def similar(pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, and their coded lines) that meet the edit rule.
 
-    Comparing letters costs the square of a line's length, so lines over ``LETTERS`` are compared by their pieces: a
-    fifth of them may be edited.
+    Comparing letters costs the square of a line's length, so lines over ``LETTERS`` are compared by their pieces first: an edited
+    piece is an edit of at most its letters and the blank behind them.  Pairs that are within the rule even so, with an edit to spare for
+    pieces that are equal by hash alone, are links; all others are compared by letters.
     """
-    most = lambda x: f"cast(greatest(length({x}_a), length({x}_b)) * {100 - PERCENT} div 100 as int)"
-    edits = lambda x: f"levenshtein({x}_a, {x}_b, {most(x)}) >= 0"
-    longer = "greatest(length(norm_a), length(norm_b))"
-    return pairs.filter(f"abs(length(norm_a) - length(norm_b)) <= {most('norm')} AND if({longer} <= {LETTERS}, {edits('norm')}, {edits('code')})").select("a", "b")
+    most = f"cast(greatest(length(norm_a), length(norm_b)) * {100 - PERCENT} div 100 as int)"
+    by_pieces = f"greatest(length(norm_a), length(norm_b)) > {LETTERS} AND levenshtein(code_a, code_b, cast({most} div {PIECE + 1} - 1 as int)) >= 0"
+    return pairs.filter(f"abs(length(norm_a) - length(norm_b)) <= {most} AND if({by_pieces}, true, levenshtein(norm_a, norm_b, {most}) >= 0)").select("a", "b")
 
 
 def groups(occ: DataFrame, lines: DataFrame) -> DataFrame:

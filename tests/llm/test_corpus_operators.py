@@ -218,6 +218,21 @@ def test_lines_by_edits(spark):
     assert sum(got[2 * i + 1] for i in range(len(lines))) >= 0.97 * len(lines) > 100
 
 
+def test_long_lines_by_letters(spark):
+    """Long lines in which a letter of most short words is changed: a tenth of the letters, but a third of the pieces of four letters."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    rows = []
+    for i in range(6):
+        w = [word(10 if j % 3 == 0 else 3) for j in range(60)]
+        v = [x[0] + "é" + x[2] if len(x) == 3 and j % 8 else x for j, x in enumerate(w)]
+        far = [word(len(x)) if j % 3 else x for j, x in enumerate(w)]  # short words are others: more than a fifth
+        assert len(" ".join(w)) > fuzzy_lines.LETTERS and distance(" ".join(w), " ".join(v)) <= len(" ".join(w)) // 5 < distance(" ".join(w), " ".join(far))
+        rows += [(3 * i + j, " ".join(x)) for j, x in enumerate((w, v, far))]
+    got = {r.doc_id: r.n_dropped for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i % 3 == 1) for i in range(18)}
+
+
 def test_blocks(spark):
     """A changed word changes two blocks at most, in lines of any length; sums of repeated lines count them."""
     rng = random.Random(4)
