@@ -149,7 +149,8 @@ def groups(occ: DataFrame, lines: DataFrame) -> DataFrame:
 
     A bucket never becomes all its pairs at once: first every member meets the bucket's hub, its smallest
     node, and the links found are followed to components.  Then members outside a bucket's most common
-    component meet its members of other components.  So candidates that aren't compared are connected anyway.
+    component meet its members of other components, each pair in one bucket of those that it shares.  So candidates that aren't
+    compared are connected anyway.
     """
     spark = occ.sparkSession
     keyed = buckets(occ, lines)
@@ -174,9 +175,12 @@ def groups(occ: DataFrame, lines: DataFrame) -> DataFrame:
     placed = members.filter("n > 2").join(bounded(comp), "node", "left").select("bucket", "node", "len", "sim", F.coalesce("component", "node").alias("comp"))
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("comp", "size").alias("top"), F.count("*").alias("comps"))
     placed = written(placed.join(written(sizes.filter("comps > 1").select("bucket", "top"), "open-buckets"), "bucket"), "open")
-    side = lambda x: [F.col(c).alias(f"{x}{c}") for c in ("node", "comp", "len", "sim")]
-    outside = placed.filter("comp <> top").select("bucket", *side("a_"))
-    met = outside.join(placed.select("bucket", *side("b_")), "bucket").filter((F.col("a_comp") != F.col("b_comp")) & near("a_", "b_"))
+    every = placed.groupBy("node").agg(F.collect_list("bucket").alias("every"))
+    placed = written(placed.join(every, "node"), "open-places")
+    side = lambda x: [F.col(c).alias(f"{x}{c}") for c in ("node", "comp", "len", "sim", "every")]
+    outside = placed.filter("comp <> top").select("bucket", "top", *side("a_"))
+    once = F.expr("(b_comp = top OR a_node < b_node) AND bucket = array_min(array_intersect(a_every, b_every))")
+    met = outside.join(placed.select("bucket", *side("b_")), "bucket").filter((F.col("a_comp") != F.col("b_comp")) & near("a_", "b_") & once)
     pairs = written(met.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")).distinct(), "pairs")
     if pairs.isEmpty():
         return comp
