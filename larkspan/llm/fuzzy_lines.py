@@ -17,7 +17,7 @@ Candidates share two or three blocks (pigeonhole):
 
 Of these, lines are compared whose lengths fit and whose SimHashes (``BITS`` bits a block) agree in half of the blocks that have
 words in either; lines of up to ``TINY`` characters always are.  Two are linked if the edit distance of the normalised lines is at most a
-fifth of the longer one, in letters.  Of each connected group the first occurrence stays, by key, then line number.  Candidates are a matter of chance where edits touch nearly every word or block.
+fifth of the longer one, in letters; counts of letters rule pairs out first, which loses none.  Of each connected group the first occurrence stays, by key, then line number.  Candidates are a matter of chance where edits touch nearly every word or block.
 
 Defined results: a null text stays null and an empty one empty; lines without a word stay and are never
 linked; rows equal in key and text count as one and keep the same lines; null keys come first; other
@@ -42,6 +42,10 @@ LONG, SHORT, FEW, TINY, LIGHT = 20, (8, 25), 10, 24, 3
 PIECE, CODES = 4, (0x100, 0xD400 - 0x100)
 #: longer lines are compared by pieces first
 LETTERS = 200
+#: characters that are counted each by itself; what else a line has is counted together
+COUNTED = " abcdefghijklmnopqrstuvwxyz"
+#: pairs that hubs leave open are dealt into so many parts by hash; a turn ends before the part named, and links of a turn spare pairs of the next
+PARTS, TURNS = 32, (1, 8, 32)
 
 
 def normalised(line: Column) -> Column:
@@ -132,6 +136,19 @@ def coded(texts: DataFrame) -> DataFrame:
     return texts.withColumn("code", F.decode(F.unhex(digits), "UTF-16BE"))
 
 
+def letters(norm: Column) -> Column:
+    """How often a line has each of ``COUNTED``, and all others."""
+    n = [F.length(norm) - F.length(F.replace(norm, F.lit(c))) for c in COUNTED]
+    return F.array(*n, F.length(norm) - reduce(Column.__add__, n))
+
+
+def countable(one: str, two: str) -> Column:
+    """Letters and lengths that allow a link: an edit takes a letter of one kind, adds one or does both, so edits are at least the larger of surplus and lack."""
+    a, b = F.col(f"{one}len"), F.col(f"{two}len")
+    apart = F.aggregate(F.zip_with(f"{one}letters", f"{two}letters", lambda x, y: F.abs(x - y)), F.lit(0), lambda n, x: n + x)
+    return (apart + F.abs(a - b)) * 50 <= F.greatest(a, b) * (100 - PERCENT)
+
+
 def similar(pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, and their coded lines) that meet the edit rule.
 
@@ -149,8 +166,10 @@ def groups(occ: DataFrame, lines: DataFrame) -> DataFrame:
 
     A bucket never becomes all its pairs at once: first every member meets the bucket's hub, its smallest
     node, and the links found are followed to components.  Then members outside a bucket's most common
-    component meet its members of other components, each pair in one bucket of those that it shares.  So candidates that aren't
-    compared are connected anyway.
+    component meet its members of other components, each pair in one bucket of those that it shares, unless
+    counts of letters rule it out.  They do so in turns: a small part of the pairs, picked by hash, finds most of the links that
+    join components, and pairs within a component needn't be compared in the next turn.  The last turn has all that is left, so
+    candidates that aren't compared are connected anyway or can't be linked.
     """
     spark = occ.sparkSession
     keyed = buckets(occ, lines)
@@ -159,32 +178,51 @@ def groups(occ: DataFrame, lines: DataFrame) -> DataFrame:
     members = written(keyed.join(bounded(shared, 2_000_000), "bucket"), "members")
     released(spark)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        want = written(lines.select("node", "h1", "h2").join(bounded(written(nodes, "pair-nodes")), "node"), "pair-lines")
-        found = occ.select("h1", "h2", "norm").join(bounded(want), ["h1", "h2"]).dropDuplicates(["node"]).select("node", "norm")
-        texts = written(coded(found), "pair-texts")
-        half = lambda x: texts.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("norm", "code")])
+    def texts(nodes: DataFrame) -> DataFrame:
+        want = written(lines.select("node", "h1", "h2").join(bounded(nodes), "node"), "node-lines")
+        return occ.select("h1", "h2", "norm").join(bounded(want), ["h1", "h2"]).dropDuplicates(["node"]).select("node", "norm")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
+
+    def confirm(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        found = written(coded(found), "pair-texts")
+        half = lambda x: found.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("norm", "code")])
         return written(similar(half("a").join(pairs, "a").join(half("b"), "b")), "line-links")
 
+    def opened(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        """The rows in buckets of more than one component, with their own (comp) and the bucket's most common one (top)."""
+        placed = rows.join(bounded(comp), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("comp", "size").alias("top"), F.count("*").alias("comps"))
+        return placed.join(written(sizes.filter("comps > 1").select("bucket", "top"), "open-buckets"), "bucket")
+
     hubs = members.groupBy("bucket").agg(F.min("node").alias("hub_node"), *[F.min_by(c, "node").alias(f"hub_{c}") for c in ("len", "sim")])
     met = members.join(hubs, "bucket").filter((F.col("node") != F.col("hub_node")) & near("", "hub_"))
-    links = confirm(written(met.select(F.col("node").alias("a"), F.col("hub_node").alias("b")).distinct(), "pairs"))
+    pairs = written(met.select(F.col("node").alias("a"), F.col("hub_node").alias("b")).distinct(), "pairs")
+    links = confirm(pairs, texts(ends(pairs)))
     # buckets of two are done; members of others that the hub did not connect
     comp = written(components(links), "components")
-    placed = members.filter("n > 2").join(bounded(comp), "node", "left").select("bucket", "node", "len", "sim", F.coalesce("component", "node").alias("comp"))
-    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("comp", "size").alias("top"), F.count("*").alias("comps"))
-    placed = written(placed.join(written(sizes.filter("comps > 1").select("bucket", "top"), "open-buckets"), "bucket"), "open")
-    every = placed.groupBy("node").agg(F.collect_list("bucket").alias("every"))
-    placed = written(placed.join(every, "node"), "open-places")
-    side = lambda x: [F.col(c).alias(f"{x}{c}") for c in ("node", "comp", "len", "sim", "every")]
-    outside = placed.filter("comp <> top").select("bucket", "top", *side("a_"))
+    left = written(opened(members.filter("n > 2").drop("n"), comp).drop("comp", "top"), "open")
+    nodes = written(left.groupBy("node").agg(F.collect_list("bucket").alias("every")), "open-nodes")
+    known = written(texts(nodes.select("node")), "open-texts")
+    left = written(left.join(nodes.join(known.select("node", letters(F.col("norm")).alias("letters")), "node"), "node"), "open-places")
+    side = lambda x: [F.col(c).alias(f"{x}{c}") for c in ("node", "comp", "len", "sim", "every", "letters")]
+    # buckets that two components share stay open, so the smallest one that a pair shares is the same in all turns
     once = F.expr("(b_comp = top OR a_node < b_node) AND bucket = array_min(array_intersect(a_every, b_every))")
-    met = outside.join(placed.select("bucket", *side("b_")), "bucket").filter((F.col("a_comp") != F.col("b_comp")) & near("a_", "b_") & once)
-    pairs = written(met.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")).distinct(), "pairs")
-    if pairs.isEmpty():
-        return comp
-    return written(components(links.unionByName(confirm(pairs))), "components")
+    part = F.pmod(F.xxhash64(F.greatest("a_node", "b_node"), F.least("a_node", "b_node")), F.lit(PARTS))
+    for first, end in zip((0, *TURNS), TURNS, strict=False):
+        placed = written(opened(left, comp), "open-now")
+        outside = placed.filter("comp <> top").select("bucket", "top", *side("a_"))
+        may = (F.col("a_comp") != F.col("b_comp")) & near("a_", "b_") & (part >= first) & (part < end) & once & countable("a_", "b_")
+        met = outside.join(placed.select("bucket", *side("b_")), "bucket").filter(may)
+        pairs = written(met.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = confirm(pairs, known.join(bounded(ends(pairs)), "node"))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comp = written(components(links), "components")
+    return comp
 
 
 def repeated(occ: DataFrame) -> DataFrame:

@@ -233,6 +233,53 @@ def test_long_lines_by_letters(spark):
     assert got == {i: int(i % 3 == 1) for i in range(18)}
 
 
+def test_lines_in_turns(spark, monkeypatch):
+    """Near copies about a fifth apart that no hub links at once, and lines of several kinds that share a passage: links as of all pairs, a part of them compared."""
+    rng = random.Random(17)
+    word = lambda abc: "".join(rng.choices(abc, k=rng.randrange(3, 9)))
+    base = [word("etaoinshrdlu") for _ in range(40)]
+    passage = [word("etaoinshrdlu") for _ in range(24)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for i in rng.sample(range(40), 5):
+            w[i] = word("etaoinshrdlu")
+        texts.append(" ".join(w))
+    texts += [" ".join([*(word(abc) for _ in range(20)), *passage]) for abc in ("etaoin", "bcdfgé") for _ in range(40)]
+    compared, plain = [], fuzzy_lines.similar
+    monkeypatch.setattr(fuzzy_lines, "similar", lambda pairs: (compared.append(pairs.count()), plain(pairs))[1])
+    got = {r.doc_id for r in fuzzy_lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.n_dropped}
+    lines = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    pairs = lines.join(lines.toDF("j", "y"), F.expr("i < j")).filter(f"levenshtein(x, y, cast(greatest(length(x), length(y)) * {100 - fuzzy_lines.PERCENT} div 100 as int)) >= 0").collect()
+    u = Sets(range(len(texts)))
+    for r in pairs:
+        u.join(r.i, r.j)
+    groups = defaultdict(list)
+    for i in range(len(texts)):
+        groups[u.find(i)].append(i)
+    assert 1000 < len(pairs) < 6500 and got == set(range(len(texts))) - {min(g) for g in groups.values()}
+    assert sum(compared) < 2500, compared
+
+
+def test_letter_counts(spark):
+    """Counts of letters rule out no pair within the edit rule, at its edge too, and do rule out lines of other letters."""
+    rng = random.Random(18)
+    rows = []
+    for n in (5, 20, 63, 200):
+        for _ in range(60):
+            a = rng.choices("abc deé1中\U0001f600", k=n)
+            b = list(a)
+            for _ in range(rng.randrange(n // 5 + 3)):
+                i = rng.randrange(len(b))
+                b[i : i + rng.randrange(2)] = rng.choices("abxyzé", k=rng.randrange(2))
+            rows.append(("".join(a), "".join(b)))
+    rows.append(("abcd " * 20, "efgh " * 20))
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", *[f(c).alias(f"{c}_{n}") for c in "ab" for n, f in (("len", F.length), ("letters", lambda c: fuzzy_lines.letters(F.col(c))))])
+    may = [r.may for r in df.select(fuzzy_lines.countable("a_", "b_").alias("may")).collect()]
+    rule = [distance(a, b) * 100 <= max(len(a), len(b)) * (100 - fuzzy_lines.PERCENT) for a, b in rows]
+    assert sum(rule) > 100 and all(m for m, r in zip(may, rule, strict=True) if r) and not may[-1]
+
+
 def test_blocks(spark):
     """A changed word changes two blocks at most, in lines of any length; sums of repeated lines count them."""
     rng = random.Random(4)
