@@ -46,6 +46,8 @@ LETTERS = 200
 COUNTED = " abcdefghijklmnopqrstuvwxyz"
 #: pairs that hubs leave open are dealt into so many parts by hash; a turn ends before the part named, and links of a turn spare pairs of the next
 PARTS, TURNS = 32, (1, 8, 32)
+#: one join gives the pairs of all turns up to the one that ends here
+JOINS = (8, 32)
 
 
 def normalised(line: Column) -> Column:
@@ -161,6 +163,27 @@ def similar(pairs: DataFrame) -> DataFrame:
     return pairs.filter(f"abs(length(norm_a) - length(norm_b)) <= {most} AND if({by_pieces}, true, levenshtein(norm_a, norm_b, {most}) >= 0)").select("a", "b")
 
 
+def ends_placed(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The components of both ends of pairs, as a_comp and b_comp; a node without one is its own."""
+    for x in "ab":
+        pairs = pairs.join(bounded(comp.select(F.col("node").alias(x), F.col("component").alias(f"{x}_comp"))), x, "left")
+    return pairs.select("a", "b", *[F.coalesce(f"{x}_comp", x).alias(f"{x}_comp") for x in "ab"])
+
+
+def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    return ends_placed(pairs, comp).filter("a_comp <> b_comp").select("a", "b")
+
+
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links, which are followed among the components alone."""
+    roots = components(ends_placed(links, comp).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    moved = bounded(written(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "roots"))
+    old = comp.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    # roots that had no component are lines without links so far
+    return old.unionByName(roots.join(comp, "node", "left_anti").select("node", "component"))
+
+
 def groups(occ: DataFrame, lines: DataFrame) -> DataFrame:
     """(node, component) of the lines that have links.
 
@@ -169,7 +192,8 @@ def groups(occ: DataFrame, lines: DataFrame) -> DataFrame:
     component meet its members of other components, each pair in one bucket of those that it shares, unless
     counts of letters rule it out.  They do so in turns: a small part of the pairs, picked by hash, finds most of the links that
     join components, and pairs within a component needn't be compared in the next turn.  The last turn has all that is left, so
-    candidates that aren't compared are connected anyway or can't be linked.
+    candidates that aren't compared are connected anyway or can't be linked.  Turns of one join share its pairs, and links of a
+    turn are followed among components, not from the lines again.
     """
     spark = occ.sparkSession
     keyed = buckets(occ, lines)
@@ -186,7 +210,6 @@ def groups(occ: DataFrame, lines: DataFrame) -> DataFrame:
         return written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
 
     def confirm(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        found = written(coded(found), "pair-texts")
         half = lambda x: found.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("norm", "code")])
         return written(similar(half("a").join(pairs, "a").join(half("b"), "b")), "line-links")
 
@@ -199,7 +222,7 @@ def groups(occ: DataFrame, lines: DataFrame) -> DataFrame:
     hubs = members.groupBy("bucket").agg(F.min("node").alias("hub_node"), *[F.min_by(c, "node").alias(f"hub_{c}") for c in ("len", "sim")])
     met = members.join(hubs, "bucket").filter((F.col("node") != F.col("hub_node")) & near("", "hub_"))
     pairs = written(met.select(F.col("node").alias("a"), F.col("hub_node").alias("b")).distinct(), "pairs")
-    links = confirm(pairs, texts(ends(pairs)))
+    links = confirm(pairs, written(coded(texts(ends(pairs))), "pair-texts"))
     # buckets of two are done; members of others that the hub did not connect
     comp = written(components(links), "components")
     left = written(opened(members.filter("n > 2").drop("n"), comp).drop("comp", "top"), "open")
@@ -210,18 +233,24 @@ def groups(occ: DataFrame, lines: DataFrame) -> DataFrame:
     # buckets that two components share stay open, so the smallest one that a pair shares is the same in all turns
     once = F.expr("(b_comp = top OR a_node < b_node) AND bucket = array_min(array_intersect(a_every, b_every))")
     part = F.pmod(F.xxhash64(F.greatest("a_node", "b_node"), F.least("a_node", "b_node")), F.lit(PARTS))
-    for first, end in zip((0, *TURNS), TURNS, strict=False):
+    # few pairs of these turns are links, so pieces would seldom spare a comparison by letters
+    plain = known.withColumn("code", F.lit(None).cast("string"))
+    for start, stop in zip((0, *JOINS), JOINS, strict=False):
         placed = written(opened(left, comp), "open-now")
         outside = placed.filter("comp <> top").select("bucket", "top", *side("a_"))
-        may = (F.col("a_comp") != F.col("b_comp")) & near("a_", "b_") & (part >= first) & (part < end) & once & countable("a_", "b_")
+        may = (F.col("a_comp") != F.col("b_comp")) & near("a_", "b_") & (part >= start) & (part < stop) & once & countable("a_", "b_")
         met = outside.join(placed.select("bucket", *side("b_")), "bucket").filter(may)
-        pairs = written(met.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = confirm(pairs, known.join(bounded(ends(pairs)), "node"))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comp = written(components(links), "components")
+        met = written(met.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"), part.alias("part")), "met")
+        for first, end in zip((0, *TURNS), TURNS, strict=False):
+            if not start <= first < stop:
+                continue
+            pairs = met.filter(F.col("part").between(first, end - 1)).select("a", "b")
+            pairs = written(pairs if first == start else apart(pairs, comp), "pairs")
+            if pairs.isEmpty():
+                continue
+            found = confirm(pairs, plain.join(bounded(ends(pairs)), "node"))
+            if not found.isEmpty():
+                comp = written(joined(comp, found), "components")
     return comp
 
 

@@ -261,6 +261,41 @@ def test_lines_in_turns(spark, monkeypatch):
     assert sum(compared) < 2500, compared
 
 
+def test_components_by_turns(spark):
+    """Further links change components as following all links anew does: among components, among lines without links, and between both."""
+    rng = random.Random(19)
+    some = lambda n, most: [tuple(sorted(rng.sample(range(most), 2), reverse=True)) for _ in range(n)]
+    old, new = some(120, 300), some(60, 400)
+    links = spark.createDataFrame(old, "a long, b long"), spark.createDataFrame(new, "a long, b long")
+    comp = graph.components(links[0])
+    rows = lambda df: sorted(tuple(r) for r in df.select("node", "component").collect())
+    want = rows(graph.components(links[0].unionByName(links[1])))
+    assert rows(fuzzy_lines.joined(comp, links[1])) == want and want != rows(comp)
+    u = Sets(range(400))
+    for a, b in old:
+        u.join(a, b)
+    assert {tuple(r) for r in fuzzy_lines.apart(links[1], comp).collect()} == {(a, b) for a, b in new if u.find(a) != u.find(b)}
+
+
+def test_turns_share_joins(spark, monkeypatch):
+    """Near copies that no hub links at once: the candidates of three turns are made by two joins, and components of all lines are followed once."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=rng.randrange(3, 9)))
+    base = [word() for _ in range(40)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for i in rng.sample(range(40), 5):
+            w[i] = word()
+        texts.append(" ".join(w))
+    names, plain, followed, whole = Counter(), fuzzy_lines.written, [], fuzzy_lines.components
+    monkeypatch.setattr(fuzzy_lines, "written", lambda df, name, lasting=False: (names.update([name]), plain(df, name, lasting))[1])
+    monkeypatch.setattr(fuzzy_lines, "components", lambda edges: (followed.append(edges.count()), whole(edges))[1])
+    got = fuzzy_lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(r.n_dropped for r in got) > 100
+    assert names["open-now"] == 2 and names["pair-texts"] == 1 and len(followed) > 1 and max(followed[1:]) <= followed[0], (names, followed)
+
+
 def test_letter_counts(spark):
     """Counts of letters rule out no pair within the edit rule, at its edge too, and do rule out lines of other letters."""
     rng = random.Random(18)
